@@ -34,7 +34,7 @@ LABELLED = 12_000
 ROUNDS = 60
 STEM = 5
 RARE = 10
-DECAY = 1.0
+DECAY = 0.3
 SCALE = 4.0
 #: Bytes of texts that are looked at together.
 GROUP = 1 << 21
@@ -73,11 +73,11 @@ def votes(text: bytes | None) -> str:
 
 
 def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.2) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
-    """Posterior of rejection by vote pattern; P(reject | class, no abstention), shape (labellers, classes); the classes' shares.
+    """Posterior of rejection by vote pattern; P(reject | class), shape (labellers, classes); the classes' shares.
 
     Class 0 is to be kept; class i + 1 fails the test of labeller i. Documents fail in different ways, so a
     single class of bad ones would make their votes look independent of it. Bounds keep the classes' meaning: what is
-    to be kept is seldom rejected, and what fails a labeller's test mostly is. Abstentions tell nothing.
+    to be kept is seldom rejected, and what fails a labeller's test mostly is. An abstention counts as no rejection.
     """
     width = len(next(iter(patterns), ""))
     own = np.arange(width), np.arange(width) + 1
@@ -88,14 +88,14 @@ def fit_labellers(patterns: dict[str, int], rounds: int = 200, prior: float = 0.
         return {}, table, shares
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
-    bad, good = (np.array([[v == k for v in p] for p in names], float) for k in (REJECT, KEEP))
+    bad = np.array([[v == REJECT for v in p] for p in names], float)
     start = table.copy()
     for _ in range(rounds):
-        logs = bad @ np.log(table) + good @ np.log(1 - table) + np.log(shares)
+        logs = bad @ np.log(table) + (1 - bad) @ np.log(1 - table) + np.log(shares)
         post = np.exp(logs - logs.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
         both = post * n[:, None]
-        table = (bad.T @ both + start) / ((bad + good).T @ both + 1)
+        table = (bad.T @ both + start) / (both.sum(axis=0) + 1)
         table[:, 0] = np.minimum(table[:, 0], 0.02)
         table[own] = np.maximum(table[own], 0.6)
         table = np.clip(table, 1e-4, 1 - 1e-4)
@@ -151,21 +151,55 @@ def vote_places(pattern: str, size: int = FEATURES) -> np.ndarray:
 
 
 def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int = FEATURES, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of a logistic scorer on soft labels, by full-batch steps with a rate for each weight; places met in fewer than RARE rows get none."""
-    w, speed = np.zeros(size), np.full(size, 1e-6)
+    """Weights of a logistic scorer on soft labels with a squared penalty, by L-BFGS; places met in fewer than RARE rows get none."""
+    out = np.zeros(size)
     if not rows:
-        return w
+        return out
     at = np.concatenate([r[0] for r in rows])
     x = np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     often = np.bincount(at, minlength=size)[at] >= RARE
-    at, x, row = at[often], x[often], row[often]
+    used, at = np.unique(at[often], return_inverse=True)
+    x, row = x[often], row[often]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, w[at] * x, len(rows))
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        value = (np.logaddexp(0, z) - target * z).sum() + DECAY / 2 * (w @ w)
+        return value, np.bincount(at, (p - target)[row] * x, len(used)) + DECAY * w
+
+    w = np.zeros(len(used))
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(rows)), -30, 30)))
-        slope = np.bincount(at, (p - target)[row] * x, size) + DECAY * w
-        speed += slope**2
-        w -= 0.5 * slope / np.sqrt(speed)
-    return w
+        way, kept = -slope, []
+        for s, y in reversed(steps):
+            k = s @ way / (s @ y)
+            way = way - k * y
+            kept.append(k)
+        if steps:
+            s, y = steps[-1]
+            way = way * (s @ y / (y @ y))
+        for (s, y), k in zip(steps, reversed(kept), strict=True):
+            way = way + (k - y @ way / (s @ y)) * s
+        rate = 1.0 if steps else 1.0 / max(np.sqrt(slope @ slope), 1e-12)
+        while rate > 1e-10:
+            new = w + rate * way
+            new_value, new_slope = loss(new)
+            if new_value <= value + 1e-4 * rate * (slope @ way):
+                break
+            rate /= 2
+        else:
+            break
+        s, y = new - w, new_slope - slope
+        if s @ y > 1e-12:
+            steps = [*steps[-7:], (s, y)]
+        done = value - new_value < 1e-7 * abs(value)
+        w, value, slope = new, new_value, new_slope
+        if done:
+            break
+    out[used] = w
+    return out
 
 
 class Judge:
