@@ -56,30 +56,28 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _projection() -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((1 << 16, DIMENSIONS)).astype(np.float32)
+    """For each hash of a window its four random coordinates of 0 to 255, in the four 16-bit lanes of a number."""
+    lanes = np.random.default_rng(SEED).integers(0, 256, (1 << 16, DIMENSIONS)).astype(np.uint64)
+    return (lanes << np.arange(0, 64, 16, np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def curve_keys(texts: list[bytes | None], table: np.ndarray) -> np.ndarray:
     """Hilbert keys of texts; texts of fewer than four bytes lie at the centre."""
-    sums = np.zeros((len(texts), DIMENSIONS))
+    sums, shifts = np.zeros((len(texts), DIMENSIONS)), np.arange(0, 64, 16, np.uint64)
     for k, text in enumerate(texts):
-        b = np.frombuffer((text or b"").lower(), np.uint8)
-        for i in range(0, len(b) - 3, BLOCK):
-            part = b[i : i + BLOCK + 3]
-            if len(part) > 3:
-                grams = _windows(part)
-                sums[k] += table[grams].sum(axis=0, dtype=np.float64)
+        low = (text or b"").lower()
+        for i in range(0, max(len(low) - 3, 0), BLOCK):
+            for offset in range(i, min(i + 4, len(low) - 3)):
+                grams = np.frombuffer(low, "<u4", (min(len(low), i + BLOCK + 3) - offset) // 4, offset)
+                lanes = table[grams * np.uint32(2654435761) >> np.uint32(16)]
+                whole = len(lanes) & ~255  # 256 coordinates fit into a lane
+                parts = np.append(lanes[:whole].reshape(-1, 256).sum(axis=1, dtype=np.uint64), lanes[whole:].sum(dtype=np.uint64))
+                sums[k] += (parts[:, None] >> shifts & np.uint64(0xFFFF)).sum(axis=0) - 127.5 * len(grams)
     size = np.sqrt((sums**2).sum(axis=1, keepdims=True))
     unit = sums / np.where(size > 0, size, 1)
     return hilbert_key(np.minimum(((unit + 1) * (1 << BITS - 1)).astype(np.int64), (1 << BITS) - 1))
 
 
-def _windows(b: np.ndarray) -> np.ndarray:
-    x = b.astype(np.uint32)
-    w = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
-    return w * np.uint32(2654435761) >> np.uint32(16)
-
-
 class WordTokenizer:
     """Ids of whole texts, put together from remembered ids of their space-separated words.
 
@@ -101,12 +99,10 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
             joined = self.SEPARATOR.join([w.decode("utf-8", "replace") for w in part])
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u2")
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
             ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
             raw, at = ids.tobytes(), 0
             for w, end in zip(part, (2 * ends).tolist(), strict=True):
@@ -114,19 +110,16 @@ class WordTokenizer:
                 at = end + 2
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text; null counts as empty."""
-        split = []
-        for t in texts:
+        """Little-endian 16-bit ids of each text; null counts as empty. Copies are encoded once."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, split = self.known, {}
+        for t in dict.fromkeys(texts):
             # A special token's own string must not arise from, or be lost by, lower-casing and splitting.
-            split.append(None if t and b"<|" in t else self._stop.sub(rb" \1", (t or b"").lower()).split())
-        fresh = {w for words in split if words for w in words} - self.known.keys()
-        if fresh:
-            self.learn(list(fresh))
-            fresh = {w for words in split if words for w in words} - self.known.keys()  # after starting afresh
-            if fresh:
-                self.learn(list(fresh))
-        known = self.known
-        return [self._encode(t.decode("utf-8", "replace")) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
+            split[t] = None if t and b"<|" in t else self._stop.sub(rb" \1", (t or b"").lower()).split()
+        self.learn([w for w in set().union(*filter(None, split.values())) if w not in known])
+        ids = {t: self._encode(t.decode("utf-8", "replace")) if words is None else b"".join(map(known.__getitem__, words)) for t, words in split.items()}
+        return [ids[t] for t in texts]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
