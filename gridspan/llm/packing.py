@@ -22,9 +22,12 @@ from gridspan.llm.common import binary_list, ship
 DIMENSIONS, BITS = 4, 8
 LENGTH = 4096
 END = 2
-#: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers; then it keeps those of the texts at hand.
+REMEMBERED = 500_000
 SEED = 6
+#: Ranges of the curve for each shuffle partition, and most rows whose places set their bounds.
+RANGES = 4
+SAMPLE = 100_000
 BLOCK = 1 << 20
 
 
@@ -86,6 +89,7 @@ class WordTokenizer:
     """
 
     SEPARATOR = "<|startoftext|>"
+    _letters = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     _stop = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
     def __init__(self, path: str) -> None:
@@ -94,30 +98,42 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.known: dict[bytes, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 500):
-            part = words[i : i + 500]
-            joined = self.SEPARATOR.join([w.decode("utf-8", "replace") for w in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
-            ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (2 * ends).tolist(), strict=True):
-                self.known[w] = raw[at:end]
-                at = end + 2
+        """Remember the ids of words. Words of Latin letters alone end with the one id that holds a word end."""
+        plain, rest = [], []
+        for w in words:
+            (plain if self._letters.fullmatch(w) else rest).append(w)
+        for group, glue in ((plain, " "), (rest, self.SEPARATOR)):
+            for i in range(0, len(group), 500):
+                part = group[i : i + 500]
+                joined = glue.join([w.decode("utf-8", "replace") for w in part])
+                ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+                if glue == " ":
+                    stops, skip = np.flatnonzero(self.ends[ids]) + 1, 0
+                else:
+                    stops, skip = np.append(np.flatnonzero(ids == self.separator), len(ids)), 2
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(part, (2 * stops).tolist(), strict=True):
+                    self.known[w] = raw[at:stop]
+                    at = stop + skip
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian 16-bit ids of each text; null counts as empty. Copies are encoded once."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split = self.known, {}
+        split = {}
         for t in dict.fromkeys(texts):
             # A special token's own string must not arise from, or be lost by, lower-casing and splitting.
             split[t] = None if t and b"<|" in t else self._stop.sub(rb" \1", (t or b"").lower()).split()
-        self.learn([w for w in set().union(*filter(None, split.values())) if w not in known])
+        distinct, known = set().union(*filter(None, split.values())), self.known
+        if len(known) > REMEMBERED:
+            known = self.known = {w: known[w] for w in distinct if w in known}
+        self.learn([w for w in distinct if w not in known])
         ids = {t: self._encode(t.decode("utf-8", "replace")) if words is None else b"".join(map(known.__getitem__, words)) for t, words in split.items()}
         return [ids[t] for t in texts]
 
@@ -203,13 +219,24 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _projection()
+        table, edges = _projection(), np.array(bounds, np.int64)
         for b in batches:
-            keys = curve_keys(binary_list(b.column(1)), table)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys)], ["id", "text", "key"])
-
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(keyed, "id long, text string, key long")
-    tie = F.xxhash64("id", "text")
-    rows = rows.withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("id", "text")
+            # The curve key, then bits of the row's hash: copies of one text can be cut apart.
+            place = curve_keys(binary_list(b.column(1)), table) << 31 | b.column(2).to_numpy() >> 33 & 0x7FFFFFFF
+            part = np.searchsorted(edges, place, "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(part)], ["id", "text", "tie", "place", "part"])
+
+    spark = docs.sparkSession
+    ship(spark)
+    kinds = "id long, text string, tie long, place long, part long"
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("id", "text"))
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, bounds = rows.count(), []
+    share = min(1.0, min(SAMPLE, 20 * ranges) / max(total, 1))
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Only the sizes of the ranges depend on this sample.
+    places = np.sort(some.mapInArrow(keyed, kinds).select("place").toArrow()["place"].to_numpy())
+    bounds = np.unique(places[np.arange(1, ranges) * len(places) // ranges]).tolist() if len(places) else []
+    rows = rows.mapInArrow(keyed, kinds).repartition("part").sortWithinPartitions("part", "place", "tie").select("id", "text")
     return rows.mapInArrow(_pack(tokenizer_path, length, end), "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
