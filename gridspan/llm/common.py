@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -38,10 +39,36 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the session names in spark.checkpoint.dir. Only where that is unset, as in
     local tests, a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: the session's checkpoint folder, or a temporary one in local tests."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Scratch:
+    """Compressed tables in the shared folder that are removed when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4()}"
+        self.tables = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        df.write.parquet(path := f"{self.folder}/{self.tables}", compression="zstd")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import binary_list, cut, in_groups, ship
+from gridspan.llm.common import Scratch, binary_list, cut, in_groups, ship
 
 DEPTH = 5
 SLOTS = 1 << 22
@@ -32,7 +32,7 @@ HEAD = 1 << 18
 END = b"\xff"
 CACHE = 1 << 20
 #: Bytes scored or counted at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,9 +68,9 @@ def _count_contexts(depth: int):
             for group in in_groups(binary_list(b.column(0)), BLOCK):
                 key, _ = context_keys([token_bytes(t)[1] for t in group], depth)
                 parts.append(np.unique(key, return_counts=True))
-                if sum(len(k) for k, _ in parts) > 4_000_000:
+                if sum(len(k) for k, _ in parts) > 1_500_000:
                     parts = [_merge(parts)]
-                    if len(parts[0][0]) > 2_000_000:
+                    if len(parts[0][0]) > 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].astype(np.int64)), pa.array(parts[0][1])], ["key", "n"])
                         parts = []
         if parts:
@@ -93,7 +93,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t in binary_list(b.column(0)):
             found.update(token_bytes(t)[0])
-            if len(found) > 400_000:
+            if len(found) > 250_000:
                 yield from out()
     yield from out()
 
@@ -108,7 +108,7 @@ def _log_gamma(x: Column) -> Column:
     return series - F.log(down)
 
 
-def context_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def context_tree(counts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
     """counts(key, n) -> (depth, node_key, n, p, w): each seen decision's estimate that its bit is 1, and the weight that stays with it."""
     bits = F.array(*(F.struct((F.lit(1 << j) + F.expr(f"shiftright(key & 255, {8 - j})")).alias("node"), F.expr(f"shiftright(key, {7 - j}) & 1").alias("bit")) for j in range(8)))
     rows = counts.select(F.expr("shiftright(key, 8)").alias("ctx"), F.explode(bits).alias("x"), "n")
@@ -123,7 +123,7 @@ def context_tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             level = level.withColumn("own", kt)
             both = math.log(0.5) + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below"))))
             level = level.withColumn("pw", both).withColumn("w", 1 / (1 + F.exp(F.least(F.col("below") - F.col("own"), F.lit(700.0)))))
-        level = cut(level.select("ctx", "node", "n0", "n1", "pw", "w"))
+        level = scratch.write(level.select("ctx", "node", "n0", "n1", "pw", "w"))
         n = F.col("n0") + F.col("n1")
         key = F.lit(d).cast("long") * (1 << 48) + F.col("ctx") * 256 + F.col("node")
         out.append(level.select(key.alias("node_key"), n.alias("n"), ((F.col("n1") + 0.5) / (n + 1)).cast("float").alias("p"), F.col("w").cast("float").alias("w")))
@@ -197,9 +197,10 @@ def train(texts: DataFrame, depth: int = DEPTH, slots: int = SLOTS) -> Model:
     """A model of texts(text)."""
     ship(texts.sparkSession)
     counts = texts.select("text").mapInArrow(_count_contexts(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    tree = context_tree(cut(counts), depth).mapInArrow(_slots(slots), "slot int, check int, node_key long, n long, p float, w float")
-    best = tree.groupBy("slot").agg(F.max(F.struct("n", "node_key", "check", "p", "w")).alias("x"))
-    table = best.select("slot", "x.check", "x.p", "x.w").toArrow()
+    with Scratch(texts.sparkSession) as scratch:
+        tree = context_tree(counts, scratch, depth).mapInArrow(_slots(slots), "slot int, check int, node_key long, n long, p float, w float")
+        best = tree.groupBy("slot").agg(F.max(F.struct("n", "check", "p", "w")).alias("x"))
+        table = best.select("slot", "x.check", "x.p", "x.w").toArrow()
     return Model(*(table[c].to_numpy() for c in ("slot", "check", "p", "w")), depth, slots)
 
 
@@ -235,7 +236,8 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
         least = r["step"]
     frequent = counts.where(step >= least) if least is not None else counts.limit(0)
     norm = math.log10(n_all + n_words + 1)
-    known = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.n + 1) - norm for r in frequent.collect()})
+    table = frequent.toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), (np.log10(table["n"].to_numpy() + 1) - norm).tolist(), strict=True)))
     end_score = math.log10(n_docs + 1) - norm
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
