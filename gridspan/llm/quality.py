@@ -28,9 +28,9 @@ INSULTS = frozenset(b"idiot moron stupid loser scum trash pathetic worthless dis
 SYMBOLS = b"#$%&*|~^_<>=+@\\{}[]!"
 FEATURES = 1 << 18
 #: Most documents whose posterior labels train the scorer.
-SAMPLE = 12_000
+SAMPLE = 6_000
 #: Most labelled rows that train the learned labeller.
-LABELLED = 12_000
+LABELLED = 6_000
 ROUNDS = 60
 STEM = 5
 RARE = 10
@@ -242,7 +242,7 @@ def _featured(learned: np.ndarray | None):
 
 
 def _pairs(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32).astype(float)) for r in rows]
+    return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32)) for r in rows]
 
 
 def learn_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> np.ndarray | None:
