@@ -10,6 +10,7 @@ piece of a prefix is the one that merging would leave standing next to the last
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridspan.llm.common import ship
+from gridspan.llm.common import binary_list, in_groups, ship
 
 MARK = "▁"
-#: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+_LINES = re.compile(r"\n+|[^\n]+")
+#: Words whose ids a worker remembers; then it keeps those of the texts at hand.
+REMEMBERED = 500_000
+#: Pairs of pieces of which a worker remembers whether merging leaves them apart.
+PAIRS = 400_000
+#: Bytes of texts that are encoded together.
+GROUP = 1 << 21
 
 
 class Pieces:
@@ -41,11 +47,14 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(self.piece) if not special[i]}
         self.score = [sp.get_score(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.value = {i: bytes([b]) for b, i in self.byte.items()}
+        self.text = [b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
+        for b, i in self.byte.items():
+            self.text[i] = bytes([b])
+        #: Line ends are cut off where no piece holds one: they are coded byte by byte and merge with nothing.
+        self.lines = not any("\n" in p for p in self.id)
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.id))
-        self.control = {i for i in range(n) if sp.is_control(i)}
-        self.stands: dict[tuple[str, str], bool] = {}
+        self.stands: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def _merge(self, parts: list[str]) -> list[str]:
@@ -61,46 +70,41 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stand(self, a: str, b: str) -> bool:
-        """Whether merging the characters of a + b ends with just a and b."""
-        found = self.stands.get((a, b))
+    def _stand(self, a: int, b: int) -> bool:
+        """Whether merging the characters of two pieces, or of one if a is -1, ends with just them."""
+        key = a * len(self.piece) + b
+        found = self.stands.get(key)
         if found is None:
-            if len(self.stands) > 2_000_000:
+            if len(self.stands) > PAIRS:
                 self.stands.clear()
-            found = self.stands[a, b] = self._merge(list(a + b)) == [a, b]
+            want = [self.piece[i] for i in (a, b) if i >= 0]
+            found = self.stands[key] = self._merge(list("".join(want))) == want
         return found
 
-    def _last(self, word: str, end: int, states: list[tuple[int, float]]) -> tuple[int, float]:
-        """(start of the last piece, score) of the prefix of `end` characters, given the shorter prefixes' states."""
+    def _last(self, word: str, end: int, states: list[tuple[int, float, int]]) -> tuple[int, float, int]:
+        """(start of the last piece, score, its id or -1) of the prefix of `end` characters, given the shorter prefixes' states."""
         ids = self.id
+        first = max(0, end - self.longest)
         if self.mode == "unigram":
-            best = (end - 1, states[end - 1][1] - 1e6)
-            for start in range(max(0, end - self.longest), end):
+            best = (end - 1, states[end - 1][1] - 1e6, -1)
+            for start in range(first, end):
                 i = ids.get(word[start:end])
                 if i is not None and (total := states[start][1] + self.score[i]) >= best[1]:
-                    best = (start, total)
+                    best = (start, total, i)
             return best
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in ids and start < end - 1:
+        for start in range(first, end):
+            i = ids.get(word[start:end])
+            if i is None:
                 continue
-            if not start:
-                if len(piece) == 1 or self._whole(piece):
-                    return 0, 0.0
-            elif self._stand(word[states[start][0] : start], piece):
-                return start, 0.0
-        return end - 1, 0.0
-
-    def _whole(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        found = self.stands.get((piece, ""))
-        if found is None:
-            found = self.stands[piece, ""] = self._merge(list(piece)) == [piece]
-        return found
+            before = states[start][2]
+            # A character without a piece merges with nothing.
+            if start and before < 0 or self._stand(before, i):
+                return start, 0.0, i
+        return end - 1, 0.0, -1
 
     def encode_words(self, words: list[str]) -> None:
         """Remember the ids of distinct words, walking them in order and keeping the states of shared prefixes."""
-        states: list[tuple[int, float]] = [(0, 0.0)]
+        states: list[tuple[int, float, int]] = [(0, 0.0, -1)]
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
@@ -111,41 +115,45 @@ class Pieces:
                 states.append(self._last(word, end, states))
             before, end, out = word, len(word), []
             while end:
-                start = states[end][0]
-                out.append(word[start:end])
+                start, _, i = states[end]
+                out.append(i if i >= 0 else word[start:end])
                 end = start
             ids: list[int] = []
-            for p in reversed(out):
-                i = self.id.get(p)
-                ids += [i] if i is not None else [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
+            for i in reversed(out):
+                ids += [i] if isinstance(i, int) else [self.byte[b] for b in i.encode()] if self.byte else [self.unknown]
             self.known[word] = np.array(ids, "<u4").tobytes()
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The marked words of a text: one mark for the start and for each space, cut before runs of marks."""
+    def words(self, text: str) -> list[str]:
+        """The marked words of a text: one mark for the start and for each space, cut before runs of marks and around line ends."""
+        if not text:
+            return []
         out, held = [], ""
-        for part in (" " + text).split(" ")[1:]:
+        for part in text.split(" "):
             if part:
                 out.append(held + MARK + part)
                 held = ""
             else:
                 held += MARK
-        return [*out, held] if held else out
+        if held:
+            out.append(held)
+        if self.lines and "\n" in text:
+            out = [x for w in out for x in (_LINES.findall(w) if "\n" in w else (w,))]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. An empty text has none."""
-        split = [self.words(t) if t else [] for t in texts]
+        split = [self.words(t) for t in texts]
+        distinct = set().union(*split)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = {w for words in split for w in words} - self.known.keys()
-        self.encode_words(list(fresh))
-        return [b"".join([self.known[w] for w in words]) for words in split]
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self.encode_words([w for w in distinct if w not in self.known])
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; control ids are left out."""
-        out = b"".join([self.value[i] if i in self.value else b"" if i in self.control else self.piece[i].encode() for i in np.frombuffer(ids, "<u4").tolist()])
-        text = out.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        out = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return (out[1:] if out.startswith(b" ") else out).decode("utf-8", "replace")
 
 
 _models: dict[tuple[str, str], Pieces] = {}
@@ -167,10 +175,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path, mode)
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                ids = model.encode([t or "" for t in part.column(1).to_pylist()])
+            at = 0
+            for group in in_groups(binary_list(b.column(1)), GROUP):
+                part = b.slice(at, len(group))
+                ids = model.encode([(t or b"").decode("utf-8", "replace") for t in group])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["id", "text", "ids"])
+                at += len(group)
 
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, text string, ids binary")
