@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspan.llm.common import cut
+
 #: Turns that are put in order by one task; longer conversations are split and joined through block totals.
 BLOCK = 256
 _MARKS = r"^(?:>\x20?)+"
@@ -89,11 +91,13 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     )
     rows = rows.withColumn("mark", F.md5(F.concat_ws("|", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")))
     sound = rows.where("conv_id is not null and turn is not null")
-    talk = sound.where("text is not null").select("conv_id", "turn", "mark", "text").distinct()
-    quotes = quoted_passages(talk)
+    asking = sound.where(F.regexp_like("text", F.lit(r"(?m)^>"))).select("conv_id", "turn", "mark", "text").distinct()
+    quotes = cut(quoted_passages(asking))
     asked = quotes.select("conv_id", "turn", F.explode(F.array("whole", "head")).alias("hash")).distinct()
+    # Only what conversations with quotes say is hashed, and only what is asked for is kept.
+    talk = sound.where("text is not null").join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
     said = sayings(talk).join(asked.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
-    answers = _latest_before(asked, said, ["conv_id", "hash"])
+    answers = cut(_latest_before(asked, said, ["conv_id", "hash"]))
     links = quotes
     for name in ("whole", "head"):
         found = answers.select("conv_id", "turn", F.col("hash").alias(name), F.col("before").alias(f"{name}_turn"))
@@ -102,14 +106,15 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     stats = links.groupBy("conv_id", "turn", "mark").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.max("level").alias("max_level"), F.min(F.when(F.col("source").isNotNull(), F.struct("line", "source"))).alias("first")
     )
-    before = _latest_before(sound.select("conv_id", "turn").distinct(), sound.select("conv_id", "turn"), ["conv_id"])
     block = F.floor(F.col("turn") / BLOCK)
-    counts = sound.groupBy("conv_id", block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sound.groupBy("conv_id", block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("top"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    placed = sound.withColumn("block", block).withColumn("place", F.row_number().over(within)).join(counts, ["conv_id", "block"])
-    placed = placed.join(before, ["conv_id", "turn"]).join(stats, ["conv_id", "turn", "mark"], "left")
+    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.max("top").over(earlier).alias("far"))
+    here = Window.partitionBy("conv_id", "block")
+    place = F.row_number().over(here.orderBy("turn", "role", "text"))
+    near = F.max("turn").over(here.orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    placed = sound.withColumn("block", block).withColumns({"place": place, "near": near}).join(blocks, ["conv_id", "block"])
+    placed = placed.withColumn("before", F.coalesce("near", "far")).join(cut(stats), ["conv_id", "turn", "mark"], "left")
     zero = F.lit(0).cast("long")
     out = placed.select(
         "conv_id",
