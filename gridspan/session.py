@@ -37,7 +37,8 @@ class Frame:
 
     def df(self) -> DataFrame:
         """The query as a DataFrame."""
-        out = self.table.dataframe(self.predicate, self.as_of).select(*self.table.schema.names)
+        with self.table.pinned():
+            out = self.table.dataframe(self.predicate, self.as_of).select(*self.table.schema.names)
         for step in self.steps:
             out = step(out)
         return out

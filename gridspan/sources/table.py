@@ -6,7 +6,8 @@ and deletes are recorded as small JSON patches and folded into the plan of each
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -33,6 +34,17 @@ class Table:
         if not self.files.exists(META):
             raise FileNotFoundError(path)
         self._cached: dict[tuple, DataFrame] = {}
+        self._pinned: dict | None = None
+
+    @contextmanager
+    def pinned(self) -> Iterator[None]:
+        """Read the table's description once for what is planned inside, so that it all sees one state."""
+        outer = self._pinned
+        self._pinned = outer or self.files.read(META)
+        try:
+            yield
+        finally:
+            self._pinned = outer
 
     @classmethod
     def create(
@@ -50,7 +62,7 @@ class Table:
 
     @property
     def meta(self) -> dict:
-        return self.files.read(META)
+        return self._pinned or self.files.read(META)
 
     @property
     def dims(self) -> list[Dimension]:
@@ -139,6 +151,10 @@ class Table:
 
     def dataframe(self, predicate: Predicate | None = None, as_of: int | None = None, prune: bool = True) -> DataFrame:
         """The rows at a snapshot (the newest by default) that satisfy a predicate, with the partition columns."""
+        with self.pinned():
+            return self._planned(predicate, as_of, prune)
+
+    def _planned(self, predicate: Predicate | None, as_of: int | None, prune: bool) -> DataFrame:
         patches = self.patches(as_of)
         df = self._stored()
         if as_of is not None:
