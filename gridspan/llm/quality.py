@@ -28,9 +28,9 @@ INSULTS = frozenset(b"idiot moron stupid loser scum trash pathetic worthless dis
 SYMBOLS = b"#$%&*|~^_<>=+@\\{}[]!"
 FEATURES = 1 << 18
 #: Most documents whose posterior labels train the scorer.
-SAMPLE = 6_000
+SAMPLE = 12_000
 #: Most labelled rows that train the learned labeller.
-LABELLED = 6_000
+LABELLED = 12_000
 ROUNDS = 60
 STEM = 5
 RARE = 10
@@ -38,6 +38,8 @@ DECAY = 0.3
 SCALE = 4.0
 #: Bytes of texts that are looked at together.
 GROUP = 1 << 21
+#: Training rows whose features are multiplied at once.
+ROWS = 500
 _BASE = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -152,21 +154,29 @@ def vote_places(pattern: str, size: int = FEATURES) -> np.ndarray:
 
 def train_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int = FEATURES, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of a logistic scorer on soft labels with a squared penalty, by L-BFGS; places met in fewer than RARE rows get none."""
-    out = np.zeros(size)
     if not rows:
-        return out
-    at = np.concatenate([r[0] for r in rows])
-    x = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    often = np.bincount(at, minlength=size)[at] >= RARE
-    used, at = np.unique(at[often], return_inverse=True)
-    x, row = x[often], row[often]
+        return np.zeros(size)
+    out, met, blocks = np.zeros(size), np.zeros(size, np.int64), []
+    for i in range(0, len(rows), ROWS):
+        met += np.bincount(np.concatenate([at for at, _ in rows[i : i + ROWS]]), minlength=size)
+    used = np.flatnonzero(met >= RARE)
+    number = np.zeros(size, np.int32)
+    number[used] = np.arange(len(used))
+    for i in range(0, len(rows), ROWS):
+        some = rows[i : i + ROWS]
+        at, x = (np.concatenate(c) for c in zip(*some, strict=True))
+        row = np.repeat(np.arange(len(some), dtype=np.int16), [len(r[0]) for r in some])
+        often = met[at] >= RARE
+        blocks.append((target[i : i + ROWS], number[at[often]], x[often], row[often]))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, w[at] * x, len(rows))
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        value = (np.logaddexp(0, z) - target * z).sum() + DECAY / 2 * (w @ w)
-        return value, np.bincount(at, (p - target)[row] * x, len(used)) + DECAY * w
+        value, slope = DECAY / 2 * (w @ w), DECAY * w
+        for t, at, x, row in blocks:
+            z = np.bincount(row, w[at] * x, len(t))
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            value += (np.logaddexp(0, z) - t * z).sum()
+            slope += np.bincount(at, (p - t)[row] * x, len(used))
+        return value, slope
 
     w = np.zeros(len(used))
     value, slope = loss(w)
@@ -241,8 +251,12 @@ def _featured(learned: np.ndarray | None):
     return each
 
 
-def _pairs(rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32)) for r in rows]
+def _collected(rows: DataFrame, target: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+    """Features of a bounded number of rows and their values of `target`, in the order of a hash of both; the features are views of the Arrow buffers."""
+    table = rows.select(target, "at", "x", F.xxhash64("at", "x", target).alias("tag")).toArrow()
+    order = np.argsort(table["tag"].to_numpy(), kind="stable").tolist()
+    at, x, values = table["at"], table["x"], table[target].to_pylist()
+    return [(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32)) for i in order], [values[i] for i in order]
 
 
 def learn_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> np.ndarray | None:
@@ -253,11 +267,9 @@ def learn_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(0.9 * most / total * (1 << 40))).limit(most)
     known = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).join(F.broadcast(labels), "doc_id")
     kinds = "votes string, at binary, x binary, bad boolean"
-    rows = known.groupBy("doc_id", "bad").agg(F.min("text").alias("text")).select("text", "bad").mapInArrow(_featured(None), kinds).collect()
-    if not 0 < sum(r.bad for r in rows) < len(rows):
-        return None
-    rows = sorted(rows, key=lambda r: (r.at, r.x, r.bad))
-    return train_scorer(_pairs(rows), np.array([float(r.bad) for r in rows]))
+    rows = known.groupBy("doc_id", "bad").agg(F.min("text").alias("text")).select("text", "bad").mapInArrow(_featured(None), kinds)
+    features, bad = _collected(rows, "bad")
+    return train_scorer(features, np.array(bad, float)) if 0 < sum(bad) < len(bad) else None
 
 
 def fit(
@@ -284,9 +296,8 @@ def fit(
     posterior, _, _ = fit_labellers(patterns)
     total = max(sum(patterns.values()), 1)
     few = texts if total <= sample else texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) < int(0.9 * sample / total * (1 << 40))).limit(sample)
-    rows = few.select("text").mapInArrow(featured, "votes string, at binary, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.at, r.x, r.votes))
-    return posterior, train_scorer(_pairs(rows), np.array([posterior[r.votes] for r in rows])), learned
+    features, found = _collected(few.select("text").mapInArrow(featured, "votes string, at binary, x binary"), "votes")
+    return posterior, train_scorer(features, np.array([posterior[v] for v in found])), learned
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
