@@ -31,6 +31,9 @@ FEATURES = 1 << 18
 SAMPLE = 12_000
 #: Most labelled rows that train the learned labeller.
 LABELLED = 12_000
+#: The learned labeller rejects above the first probability and keeps up to the second. Bad documents are the rarer ones and
+#: the penalty shrinks all weights, so its probabilities are low: held-out clean documents seldom reach 0.1.
+LEARNED = (0.3, 0.1)
 ROUNDS = 60
 STEM = 5
 RARE = 10
@@ -228,7 +231,7 @@ class Judge:
         patterns = [votes(t) for t in texts]
         features = text_features(texts) if self.learned is not None or self.weights is not None else ()
         if self.learned is not None:
-            patterns = [v + _vote(p, 0.7, 0.3) for v, p in zip(patterns, self._probabilities(self.learned, features, patterns), strict=True)]
+            patterns = [v + _vote(p, *LEARNED) for v, p in zip(patterns, self._probabilities(self.learned, features, patterns), strict=True)]
         return patterns, features, None if self.weights is None else self._probabilities(self.weights, features, patterns)
 
 
