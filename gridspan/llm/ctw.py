@@ -9,7 +9,7 @@ each depth. A context never seen in training hands all its weight to the longest
 follows, so the bits' probabilities always add up to one.
 
 Counting and tree building are aggregations whose size follows the corpus. The scored model is a table of at
-most SLOTS decisions, the most frequent one winning where two share a slot, so what is broadcast is bounded.
+most SLOTS decisions, the most frequent ones of each bucket of WAYS slots, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspan.llm.common import Scratch, binary_list, cut, in_groups, ship
 
 DEPTH = 5
 SLOTS = 1 << 22
+#: Slots of a bucket, which a decision's hash chooses.
+WAYS = 4
 #: Most frequent words whose counts are broadcast; the rest are joined.
 HEAD = 1 << 18
 END = b"\xff"
@@ -133,18 +135,18 @@ def context_tree(counts: DataFrame, scratch: Scratch, depth: int = DEPTH) -> Dat
     return tree
 
 
-def _slot(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket(key: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = key.astype(np.uint64) * _MIX
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(32) & np.uint64(slots - 1)).astype(np.int64), (mixed & np.uint64(0xFFFF)).astype(np.int32)
+    return (mixed >> np.uint64(32) & np.uint64(slots // WAYS - 1)).astype(np.int64), (mixed & np.uint64(0x7FFFFFFF)).astype(np.int32)
 
 
-def _slots(slots: int):
+def _buckets(slots: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot, check = _slot(b.column(0).to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(check), *b.columns], ["slot", "check", *b.schema.names])
+            bucket, check = _bucket(b.column(0).to_numpy(), slots)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(check), *b.columns[1:]], ["bucket", "check", *b.schema.names[1:]])
 
     return each
 
@@ -166,8 +168,9 @@ class Model:
             now, known = np.full(len(key), 0.5), np.zeros(len(key), bool)
             for d in range(self.depth, -1, -1):
                 at = (np.uint64(d) << np.uint64(48)) + ((ctx >> np.uint64(8 * (self.depth - d))) << np.uint64(8)) + node
-                slot, check = _slot(at, self.slots)
-                hit = self.check[slot] == check
+                bucket, check = _bucket(at, self.slots)
+                same = self.check.reshape(-1, WAYS)[bucket] == check[:, None]
+                hit, slot = same.any(axis=1), WAYS * bucket + same.argmax(axis=1)
                 p, w = self.p[slot].astype(np.float64), self.w[slot].astype(np.float64)
                 now = np.where(hit, np.where(known, w * p + (1 - w) * now, p), now)
                 known |= hit
@@ -198,9 +201,10 @@ def train(texts: DataFrame, depth: int = DEPTH, slots: int = SLOTS) -> Model:
     ship(texts.sparkSession)
     counts = texts.select("text").mapInArrow(_count_contexts(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     with Scratch(texts.sparkSession) as scratch:
-        tree = context_tree(counts, scratch, depth).mapInArrow(_slots(slots), "slot int, check int, node_key long, n long, p float, w float")
-        best = tree.groupBy("slot").agg(F.max(F.struct("n", "check", "p", "w")).alias("x"))
-        table = best.select("slot", "x.check", "x.p", "x.w").toArrow()
+        tree = context_tree(counts, scratch, depth).mapInArrow(_buckets(slots), "bucket int, check int, n long, p float, w float")
+        order = Window.partitionBy("bucket").orderBy(F.desc("n"), "check", "p", "w")
+        best = tree.withColumn("way", F.row_number().over(order)).where(F.col("way") <= WAYS)
+        table = best.select((F.col("bucket") * WAYS + F.col("way") - 1).alias("slot"), "check", "p", "w").toArrow()
     return Model(*(table[c].to_numpy() for c in ("slot", "check", "p", "w")), depth, slots)
 
 
