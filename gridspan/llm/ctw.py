@@ -169,8 +169,12 @@ class Model:
             for d in range(self.depth, -1, -1):
                 at = (np.uint64(d) << np.uint64(48)) + ((ctx >> np.uint64(8 * (self.depth - d))) << np.uint64(8)) + node
                 bucket, check = _bucket(at, self.slots)
-                same = self.check.reshape(-1, WAYS)[bucket] == check[:, None]
-                hit, slot = same.any(axis=1), WAYS * bucket + same.argmax(axis=1)
+                slot = WAYS * bucket
+                hit = self.check[slot] == check
+                for _ in range(1, WAYS):
+                    left = np.flatnonzero(~hit)
+                    slot[left] += 1
+                    hit[left] = self.check[slot[left]] == check[left]
                 p, w = self.p[slot].astype(np.float64), self.w[slot].astype(np.float64)
                 now = np.where(hit, np.where(known, w * p + (1 - w) * now, p), now)
                 known |= hit
