@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.llm import packing, quality, secrets, simhash
+from gridspan.llm import packing, quality, secrets, similar
 from gridspan.llm.queries import bad_labels, packed_digests
 
 
@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group whose word 5-shingles are alike to 0.8 or more."""
+    return similar.drop_similar(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from gridspan.llm import ctw, iblt, lattice, packing, pieces, quality, quotes, secrets, sharding, simhash
+from gridspan.llm import ctw, iblt, lattice, packing, pieces, quality, quotes, secrets, sharding, simhash, similar
 from gridspan.llm.components import connected_components
 from gridspan.llm.queries import packed_digests
 
@@ -144,6 +144,38 @@ def test_simhash_many_near(spark):
         assert {i: got.get(i, i) for i, _ in nodes} == want
 
 
+def test_similar_rows(spark, docs, empty):
+    """Against all pairs' similarities: near copies with some words changed, copies, common lines, rows without id and of one id with unlike texts."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    line = words(12)
+    texts = [None, "", "one two", "One  two", "one three"]
+    for n in (6, 20, 60, 150, 400):
+        for _ in range(6):
+            base = words(n)
+            texts.append(" ".join(base + line))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+                texts.append(" ".join([w if rng.random() > share else "x" + w for w in base] + line))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, "unlike the other text of this id"), (None, texts[20]), (None, "without an id"), (None, "Without an id")]
+
+    def sets(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} if w else set()
+
+    s = [sets(t) for _, t in rows]
+    close = [(i, j) for i in range(len(s)) for j in range(i) if not s[i] | s[j] or 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
+    assert sum(rows[i][1] != rows[j][1] for i, j in close) > 30
+    of = union_find([(i, i) for i in range(len(s))] + close)
+    groups = {}
+    for i, c in of.items():
+        groups.setdefault(c, []).append(rows[i])
+    want = Counter(min((k for k, _ in g if k is not None), default=None) for g in groups.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(r.doc_id for r in similar.drop_similar(df).collect()) == want
+    assert similar.drop_similar(empty).count() == 0
+    assert similar.drop_similar(docs).columns == docs.columns
+
+
 def test_secrets(spark, docs, empty):
     base = {"assign": (secrets.RULES[0].regex, re.I, 2, 8), "access": (r"AKIA[A-Z0-9]+", 0, 0, 16), "hex": (r"[0-9a-f]+", 0, 0, 32)}
     more = {r.kind: (r.regex, 0, 0, 1) for r in secrets.RULES[3:]}
