@@ -2,8 +2,9 @@
 
 Texts are dealt into ordered hash cells, so equal texts always share one; the cells are the atomic groups.
 Their number is fixed, so the ordered list of their sizes is bounded whatever the corpus: a single SQL
-expression binary-searches the smallest capacity for which greedy filling needs no more shards than allowed,
-and cuts there.
+expression binary-searches the smallest capacity for which greedy filling needs no more shards than allowed.
+A cell above that capacity has a shard to itself, so one large group of copies does not widen the others; within
+the capacity, shards are then cut near equal shares of what is left, and none stays empty while cells suffice.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ OVERHEAD = 16
 
 
 def minimax_capacity(sizes: Column, shards: int) -> Column:
-    """Smallest capacity with which greedy filling packs the ordered long array `sizes` into `shards` shards."""
+    """Smallest capacity with which greedy filling packs the ordered long array `sizes` into `shards` shards, larger elements being alone in one.
+
+    The larger of it and the largest element is the smallest possible largest shard.
+    """
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def needed(capacity: Column) -> Column:
         start = F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("load"))
-        step = lambda a, x: F.when(a["load"] + x > capacity, F.struct((a["n"] + 1).alias("n"), x.alias("load"))).otherwise(F.struct(a["n"].alias("n"), (a["load"] + x).alias("load")))
+        step = lambda a, x: F.when((a["load"] > 0) & (a["load"] + x > capacity), F.struct((a["n"] + 1).alias("n"), x.alias("load"))).otherwise(F.struct(a["n"].alias("n"), (a["load"] + x).alias("load")))
         return F.aggregate(sizes, start, step, lambda a: a["n"])
 
     def halve(a: Column, _: Column) -> Column:
@@ -32,7 +36,7 @@ def minimax_capacity(sizes: Column, shards: int) -> Column:
         fits = F.transform(F.array(middle), lambda m: needed(m) <= shards)[0]
         return F.when(a["low"] >= a["high"], a).when(fits, F.struct(a["low"].alias("low"), middle.alias("high"))).otherwise(F.struct((middle + 1).alias("low"), a["high"].alias("high")))
 
-    low = F.greatest(F.coalesce(F.array_max(sizes), F.lit(0).cast("long")), F.ceil(total / shards).cast("long"))
+    low = F.lit(0).cast("long")
     high = F.ceil(total / shards).cast("long") + F.coalesce(F.array_max(sizes), F.lit(0).cast("long"))
     bounds = F.struct(low.alias("low"), high.alias("high"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(63)), bounds, halve, lambda a: a["low"])
@@ -46,13 +50,36 @@ def shard_starts(cells: DataFrame, shards: int) -> list[int]:
     """
     row = cut(cells.agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("cells")))
     row = cut(row.withColumn("capacity", minimax_capacity(F.col("cells.size"), shards)))
-    begin = F.struct(F.lit(0).cast("long").alias("load"), F.expr("cast(array() as array<long>)").alias("starts"))
+    none, zero, capacity = F.expr("cast(array() as array<long>)"), F.lit(0).cast("long"), F.col("capacity")
 
-    def fill(a: Column, x: Column) -> Column:
-        over = a["load"] + x["size"] > F.col("capacity")
-        load = F.when(over, x["size"]).otherwise(a["load"] + x["size"])
-        return F.struct(load.alias("load"), F.when(over, F.concat(a["starts"], F.array(x["cell"]))).otherwise(a["starts"]).alias("starts"))
+    def back(a: Column, x: Column) -> Column:
+        over = (a["load"] > 0) & (a["load"] + x > capacity)
+        last = F.when(over, F.concat(a["last"], F.array(a["i"]))).otherwise(a["last"])
+        return F.struct(F.when(over, x).otherwise(a["load"] + x).alias("load"), last.alias("last"), (a["i"] - 1).alias("i"))
 
+    # Element k of `last`: the first place from which k shards suffice; beyond its end, they suffice for all cells.
+    n = F.size("cells").cast("long")
+    begin = F.struct(zero.alias("load"), none.alias("last"), n.alias("i"))
+    row = cut(row.withColumn("last", F.aggregate(F.reverse("cells.size"), begin, back, lambda a: a["last"])))
+
+    def fill(a: Column, x: Column) -> Column:
+        size, left = x["size"], shards - F.size(a["starts"])
+        share = a["bytes"] / F.greatest(left - a["alone"], F.lit(1))
+        suffice = a["i"] >= F.coalesce(F.get("last", left - 2), zero)
+        early = (left > 1) & ((n - a["i"] < left) | ((2 * a["load"] + size > 2 * share) & suffice))
+        over = (a["load"] > 0) & ((a["load"] + size > capacity) | early)
+        big = a["load"] > capacity
+        return F.struct(
+            F.when(over, size).otherwise(a["load"] + size).alias("load"),
+            F.when(over & ~big, a["bytes"] - a["load"]).otherwise(a["bytes"]).alias("bytes"),
+            F.when(over & big, a["alone"] - 1).otherwise(a["alone"]).alias("alone"),
+            F.when(over, F.concat(a["starts"], F.array(x["cell"]))).otherwise(a["starts"]).alias("starts"),
+            (a["i"] + 1).alias("i"),
+        )
+
+    small = F.aggregate("cells.size", zero, lambda a, x: a + F.when(x > capacity, 0).otherwise(x))
+    alone = F.size(F.filter("cells.size", lambda x: x > capacity)).cast("long")
+    begin = F.struct(zero.alias("load"), small.alias("bytes"), alone.alias("alone"), none.alias("starts"), zero.alias("i"))
     return row.select(F.aggregate("cells", begin, fill, lambda a: a["starts"]).alias("starts")).first().starts
 
 

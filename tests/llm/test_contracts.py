@@ -236,6 +236,21 @@ def test_shards(spark, docs, empty):
     assert len(edges) <= 41 and max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)) == brute_minimax(sizes, 40)
 
 
+@pytest.mark.parametrize("at", [0, 1700, 2999])
+def test_shards_with_a_large_group(spark, at):
+    """A cell of a third of all bytes leaves no shard empty, and the other shards near equal."""
+    rng = random.Random(6)
+    sizes = [rng.randint(100, 300) for _ in range(3000)]
+    sizes[at] = sum(sizes) // 2
+    starts = sharding.shard_starts(spark.createDataFrame(list(enumerate(sizes)), "cell long, size long"), 40)
+    edges = [0, *starts, len(sizes)]
+    loads = [sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    rest = sorted(loads)[:-1]
+    assert len(loads) == 40 and max(loads) == brute_minimax(sizes, 40) and rest[-1] < 1.2 * rest[0]
+    few = sharding.shard_starts(spark.createDataFrame([(i, 16 + i) for i in range(50)], "cell long, size long"), 40)
+    assert len(few) == 39
+
+
 def test_editions(spark, docs, empty):
     got = iblt.compare_editions(docs, range_rows=5).collect()
     order = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is None, -(x[0] or 0)))
