@@ -11,7 +11,9 @@ piece of a prefix is the one that merging would leave standing next to the last
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,13 @@ from gridspan.llm.common import binary_list, in_groups, ship
 
 MARK = "▁"
 _LINES = re.compile(r"\n+|[^\n]+")
-#: Words whose ids a worker remembers; then it keeps those of the texts at hand.
-REMEMBERED = 500_000
-#: Pairs of pieces of which a worker remembers whether merging leaves them apart.
-PAIRS = 400_000
+_RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Bytes of words and their ids that a worker remembers, then it starts anew; longer words are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 48 << 20, 64
+#: Bytes that one remembered word takes besides its letters and ids.
+OVERHEAD = 200
+#: Pairs of pieces of which a worker remembers whether merging leaves them apart; each takes about 100 bytes.
+PAIRS = 200_000
 #: Bytes of texts that are encoded together.
 GROUP = 1 << 21
 
@@ -39,7 +44,7 @@ class Pieces:
 
         if mode not in ("bpe", "unigram"):
             raise ValueError(f"unknown mode: {mode}")
-        sp = self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.mode = mode
         self.piece = [sp.id_to_piece(i) for i in range(n)]
@@ -56,6 +61,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.stands: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Merge neighbours by the best score of what they make, the leftmost first."""
@@ -81,61 +87,75 @@ class Pieces:
             found = self.stands[key] = self._merge(list("".join(want))) == want
         return found
 
-    def _last(self, word: str, end: int, states: list[tuple[int, float, int]]) -> tuple[int, float, int]:
-        """(start of the last piece, score, its id or -1) of the prefix of `end` characters, given the shorter prefixes' states."""
-        ids = self.id
-        first = max(0, end - self.longest)
-        if self.mode == "unigram":
-            best = (end - 1, states[end - 1][1] - 1e6, -1)
-            for start in range(first, end):
-                i = ids.get(word[start:end])
-                if i is not None and (total := states[start][1] + self.score[i]) >= best[1]:
-                    best = (start, total, i)
-            return best
-        for start in range(first, end):
-            i = ids.get(word[start:end])
+    def _unigram(self, word: str, end: int, starts: array, last: array, totals: array) -> None:
+        """Add the state of the prefix of `end` characters: start and id of its last piece (-1: none), highest sum of scores."""
+        start, total, best = end - 1, totals[end - 1] - 1e6, -1
+        for at in range(max(0, end - self.longest), end):
+            i = self.id.get(word[at:end])
+            if i is not None and (sum_ := totals[at] + self.score[i]) >= total:
+                start, total, best = at, sum_, i
+        starts.append(start)
+        last.append(best)
+        totals.append(total)
+
+    def _bpe(self, word: str, end: int, starts: array, last: array) -> None:
+        """Add the state of the prefix of `end` characters: start and id of its last piece (-1: none) if merged."""
+        find = self.id.get
+        for at in range(max(0, end - self.longest), end):
+            i = find(word[at:end])
             if i is None:
                 continue
-            before = states[start][2]
+            before = last[at]
             # A character without a piece merges with nothing.
-            if start and before < 0 or self._stand(before, i):
-                return start, 0.0, i
-        return end - 1, 0.0, -1
-
-    def encode_words(self, words: list[str]) -> None:
-        """Remember the ids of distinct words, walking them in order and keeping the states of shared prefixes."""
-        states: list[tuple[int, float, int]] = [(0, 0.0, -1)]
-        before = ""
+            if at and before < 0 or self._stand(before, i):
+                starts.append(at)
+                last.append(i)
+                return
+        starts.append(end - 1)
+        last.append(-1)
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, walking them in order and keeping the states of shared prefixes."""
+        starts, last, totals = array("i", [0]), array("i", [-1]), array("d", [0.0])
+        before, found = "", {}
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._last(word, end, states))
-            before, end, out = word, len(word), []
+            shared = len(commonprefix((before, word)))
+            del starts[shared + 1 :], last[shared + 1 :]
+            if self.mode == "bpe":
+                for end in range(shared + 1, len(word) + 1):
+                    self._bpe(word, end, starts, last)
+            else:
+                del totals[shared + 1 :]
+                for end in range(shared + 1, len(word) + 1):
+                    self._unigram(word, end, starts, last, totals)
+            before, end, ids = word, len(word), array("I")
             while end:
-                start, _, i = states[end]
-                out.append(i if i >= 0 else word[start:end])
+                start, i = starts[end], last[end]
+                if i >= 0:
+                    ids.append(i)
+                else:
+                    ids.extend([self.byte[b] for b in reversed(word[start:end].encode())] if self.byte else [self.unknown])
                 end = start
-            ids: list[int] = []
-            for i in reversed(out):
-                ids += [i] if isinstance(i, int) else [self.byte[b] for b in i.encode()] if self.byte else [self.unknown]
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            ids.reverse()
+            found[word] = ids.tobytes()
+        return found
 
     def words(self, text: str) -> list[str]:
-        """The marked words of a text: one mark for the start and for each space, cut before runs of marks and around line ends."""
+        """The marked words of a text: a mark for the start and for each space, cut before runs of marks and around line ends."""
         if not text:
             return []
-        out, held = [], ""
-        for part in text.split(" "):
-            if part:
-                out.append(held + MARK + part)
-                held = ""
-            else:
-                held += MARK
-        if held:
-            out.append(held)
+        if MARK in text:
+            out = _RUNS.findall(MARK + text.replace(" ", MARK))
+        else:
+            out, held = [], ""
+            for part in text.split(" "):
+                if part:
+                    out.append(held + MARK + part)
+                    held = ""
+                else:
+                    held += MARK
+            if held:
+                out.append(held)
         if self.lines and "\n" in text:
             out = [x for w in out for x in (_LINES.findall(w) if "\n" in w else (w,))]
         return out
@@ -144,11 +164,15 @@ class Pieces:
         """Little-endian 32-bit ids of each text. An empty text has none."""
         split = [self.words(t) for t in texts]
         distinct = set().union(*split)
-        if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        self.encode_words([w for w in distinct if w not in self.known])
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        new = self.encode_words([w for w in distinct if w not in self.known])
+        if self.held > REMEMBERED:
+            new |= {w: self.known[w] for w in distinct if w in self.known}
+            self.known, self.held = {}, 0
+        short = {w: ids for w, ids in new.items() if len(w) <= LONGEST_REMEMBERED}
+        self.known |= short
+        self.held += sum(4 * len(w) + len(ids) for w, ids in short.items()) + OVERHEAD * len(short)
+        known = self.known
+        return [b"".join([known.get(w) or new[w] for w in words]) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; control ids are left out."""
@@ -165,11 +189,14 @@ def _model(path: str, mode: str) -> Pieces:
     return _models[path, mode]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "bpe") -> DataFrame:
-    """(id, text, ids) for each row: ids as little-endian unsigned 32-bit numbers, as binary.
+def encode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "bpe", decoded: bool = False
+) -> DataFrame:
+    """(id, text, ids) for each row: ids as little-endian unsigned 32-bit numbers, as binary; with decoded, also the text they stand for.
 
-    A null or empty text has no ids. Words are remembered within a worker, so copies and repeated words cost a look-up. An empty
-    table gives no rows.
+    A null or empty text has no ids and is decoded as an empty one. Words are remembered within a worker, up to a number of
+    bytes, so copies and repeated words cost a look-up. A text without spaces is one word, walked with eight bytes a
+    character. Repeated rows are encoded each; null ids stay null. Other columns are left out. An empty table gives no rows.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +205,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             at = 0
             for group in in_groups(binary_list(b.column(1)), GROUP):
                 part = b.slice(at, len(group))
-                ids = model.encode([(t or b"").decode("utf-8", "replace") for t in group])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["id", "text", "ids"])
                 at += len(group)
+                ids = model.encode([(t or b"").decode("utf-8", "replace") for t in group])
+                columns, names = [*part.columns, pa.array(ids, pa.binary())], ["id", "text", "ids"]
+                if decoded:
+                    columns, names = [*columns, pa.array(map(model.decode, ids), pa.string())], [*names, "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, text string, ids binary")
+    kinds = "id long, text string, ids binary" + (", decoded string" if decoded else "")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, kinds)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", mode: str = "bpe") -> DataFrame:
-    """encoded's columns and `decoded`: the text that the ids stand for (null for null ids)."""
+    """encoded's columns and `decoded`: the text that the ids stand for (null for null ids). A column of that name is replaced."""
     rest = encoded.drop("decoded")
     place = rest.columns.index(ids_col)
 

@@ -56,7 +56,7 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), path), path)
+    both = pieces.encode(read(spark, sf_dir, "documents"), path, decoded=True)
     text = F.coalesce("text", F.lit(""))
     return both.select(
         F.col("id").alias("doc_id"),

@@ -392,18 +392,35 @@ def test_pieces_match_library(spark, docs, empty):
     for r in both:
         assert np.frombuffer(r.ids, "<u4").tolist() == sp.encode(r.text or "")
         assert r.decoded == (r.text or "").replace("▁", " ")  # the mark stands for a space
-    assert pieces.encode(empty, path).count() == 0
+    assert {(r.id, r.ids, r.decoded) for r in pieces.encode(docs, path, decoded=True).collect()} == {(r.id, r.ids, r.decoded) for r in both}
+    assert pieces.encode(empty, path).count() == 0 and pieces.encode(empty, path, decoded=True).count() == 0
+
+
+def test_pieces_around_marks(monkeypatch):
+    """Literal marks, odd spaces, line ends and characters without pieces, with a memory that is emptied again and again."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 1 << 16)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path), random.Random(7)
+    parts = ["▁", "▁", " ", " ", "a", "the", "ing", "\n", "\xa0", "\x00", "\x0b", "é", "日", "😀", "1", "12", ".", "ation", "  ", "▁▁", "Z", "\t", "'s", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000, "▁" * 300, "日本" * 400]
+    got = [ids for i in range(0, len(texts), 500) for ids in model.encode(texts[i : i + 500])]
+    want = sp.encode(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+    assert [model.decode(ids) for ids in got] == sp.decode(want)
+    assert model.held <= (1 << 16) + 500 * 20 * 400
 
 
 def test_unigram_is_viterbi():
     model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
     words = ["▁the", "▁there", "▁thereby", "▁x", "▁hello", "▁helloing"]
-    model.encode_words(words)
+    found = model.encode_words(words)
     for w in words:
         best = {0: 0.0}
         for e in range(1, len(w) + 1):
             best[e] = max(best[s] + model.score[model.id[w[s:e]]] for s in range(e) if w[s:e] in model.id)
-        got = np.frombuffer(model.known[w], "<u4").tolist()
+        got = np.frombuffer(found[w], "<u4").tolist()
         assert "".join(model.piece[i] for i in got) == w and math.isclose(sum(model.score[i] for i in got), best[len(w)])
 
 
