@@ -9,6 +9,7 @@ from gridspan.operators.vector import (
     cosine_pair,
     cosine_query,
     element_is,
+    matrix,
     reduce_array,
     scalar_op,
     slice_1d,
@@ -23,6 +24,6 @@ from gridspan.plans.expressions import col
 
 __all__ = [
     "any_element", "apply_arrow", "apply_step", "cardinality", "col", "concat_arrays", "cosine_columns", "cosine_pair", "cosine_query",
-    "element_is", "product_columns", "reduce_array", "register", "scalar_op", "slice_1d", "slice_nd", "sum_columns", "transform_elements",
+    "element_is", "matrix", "product_columns", "reduce_array", "register", "scalar_op", "slice_1d", "slice_nd", "sum_columns", "transform_elements",
     "unnest", "weighted_sum",
 ]

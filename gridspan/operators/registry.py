@@ -20,6 +20,7 @@ _COLUMNS: dict[str, Callable[..., Column]] = {
     "cardinality": v.cardinality,
     "transform": v.transform_elements,
     "concat": lambda x, other: v.concat_arrays(x, F.col(other)),
+    "matrix": v.matrix,
     "scalar": v.scalar_op,
 }
 
@@ -57,6 +58,7 @@ _STEPS: dict[str, Callable[..., DataFrame]] = {
     "cardinality": _named(lambda column, name=None: (name or f"{column}_len", v.cardinality(F.col(column)))),
     "element_transform": _named(lambda column, transform, value=None, name=None: (name or f"{column}_{transform}", v.transform_elements(F.col(column), transform, value))),
     "concat": _named(lambda a, b, name=None: (name or f"{a}_cat_{b}", v.concat_arrays(F.col(a), F.col(b)))),
+    "matrix": _named(lambda column, width, name=None: (name or f"{column}_matrix", v.matrix(F.col(column), width))),
     "scalar_op": _named(lambda column, operation, value, name=None: (name or f"{column}_{operation}_{value}", v.scalar_op(F.col(column), operation, value))),
     "element_wise_add": _pairwise("plus", lambda a, b: a + b),
     "element_wise_sub": _pairwise("minus", lambda a, b: a - b),
@@ -70,9 +72,21 @@ _STEPS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Steps that keep some rows as they are, and steps that add a column to each row.
+_FILTERS = {"filter_by_index", "filter_range"}
+_ADDING = set(_STEPS) - _FILTERS - {"unnest"}
+
+
+def keeps_columns(step: dict, columns: list[str]) -> bool:
+    """Whether a step is known to treat each row by itself and to leave these columns as they are."""
+    return step["op"] in _FILTERS or step["op"] in _ADDING and step.get("name") is not None and step["name"] not in columns
+
+
 def register(name: str, step: Callable[..., DataFrame]) -> None:
     """Make step(df, **args) available by name."""
     _STEPS[name] = step
+    _FILTERS.discard(name)
+    _ADDING.discard(name)
 
 
 def apply_step(df: DataFrame, step: dict) -> DataFrame:

@@ -120,8 +120,18 @@ def transform_elements(x: Column, op: str, value: float | None = None) -> Column
 
 
 def concat_arrays(a: Column, b: Column) -> Column:
-    """Both arrays behind each other, null counting as empty; null if both are."""
-    return F.when(a.isNull() & b.isNull(), F.slice(a, F.lit(1), F.lit(0))).otherwise(F.concat(F.coalesce(a, F.slice(b, F.lit(1), F.lit(0))), F.coalesce(b, F.slice(a, F.lit(1), F.lit(0)))))
+    """Both arrays behind each other, null counting as empty."""
+    return F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array()))
+
+
+def matrix(x: Column, width: int) -> Column:
+    """The array as an array of rows of `width` elements each; arrays of another size raise, null stays null."""
+    if width < 1:
+        raise ValueError(f"bad width: {width}")
+    wrong = F.raise_error(F.lit(f"arrays of whole rows of {width} elements needed"))
+    rows = F.transform(F.sequence(F.lit(1), F.call_function("div", F.array_size(x), F.lit(width)).cast("int")), lambda i: F.slice(x, (i - 1) * width + 1, F.lit(width)))
+    none = F.slice(F.array(x), F.lit(1), F.lit(0))
+    return F.when(x.isNull(), None).when(F.array_size(x) % width != 0, wrong).when(F.array_size(x) == 0, none).otherwise(rows)
 
 
 def unnest(df: DataFrame, column: str) -> DataFrame:

@@ -68,7 +68,7 @@ def scan_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
 def scan_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_extendedprice")
+    return _lines(spark, sf_dir).filter(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select("l_orderkey", "l_extendedprice").df()
 
 
 @query("SELECT count(*) AS n, min(global_id) AS low, max(global_id) AS high FROM (SELECT row_number() OVER () - 1 AS global_id FROM lineitem)")
@@ -98,7 +98,7 @@ def scan_append_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.df()
 
 
-@query(None)
+@query(f"SELECT {_EVENT} FROM events")
 def scan_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = workspace(spark)
     rows = _read(spark, sf_dir, "events")
@@ -108,9 +108,33 @@ def scan_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.df()
 
 
+@query("SELECT o_orderkey // 1000 AS chunk, CAST(('0x' || substr(sha256(o_orderstatus), 1, 16)) AS UBIGINT) % 3 AS by_text, o_custkey % 5 AS by_number, CAST(floor(o_totalprice / 5000) AS BIGINT) AS by_range, count(*) AS n FROM orders GROUP BY ALL")
+def scan_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _orders(spark, sf_dir, hash_dims={"o_orderstatus": 3, "o_custkey": 5}, range_dims={"o_totalprice": 5000}, chunk_rows=1000).table
+    names = {"__range_o_orderkey": "chunk", "__hash_o_orderstatus": "by_text", "__hash_o_custkey": "by_number", "__range_o_totalprice": "by_range"}
+    return table.dataframe().groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice AS price, o_custkey AS customer FROM orders")
+def select_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _orders(spark, sf_dir)
+    return f.select("o_orderkey", col("o_totalprice").alias("price"), (col("o_custkey") + 0).alias("customer")).df()
+
+
+@query("SELECT o_totalprice FROM orders")
+def select_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir)[col("o_totalprice")].df()
+
+
 # Filters and projections ---------------------------------------------------
 
 
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE event_id BETWEEN 100 AND 300 AND event_type = 'click'")
+def filter_after_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _events(spark, sf_dir).with_column("twice", col("value") * 2)
+    return f.filter(col("event_id").between(100, 300)).filter(col("event_type") == "click").select("event_id", "twice").df()
+
+
 @query(f"SELECT {_ORDER} FROM orders WHERE o_totalprice > 50000 AND o_totalprice <= 200000 AND o_orderstatus <> 'F' AND o_orderkey >= 10 AND o_custkey < 1000000 AND o_orderpriority = '1-URGENT'")
 def filter_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _orders(spark, sf_dir).filter(col("o_totalprice") > 50000).filter(col("o_totalprice") <= 200000)
@@ -201,6 +225,32 @@ def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
+@query("SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey")
+def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer").filter("c_acctbal > 5000").withColumnRenamed("c_custkey", "o_custkey")
+    return _orders(spark, sf_dir).join(customers, "o_custkey", "left").select("o_orderkey", "c_name").df()
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)")
+def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer").filter("c_acctbal > 5000").withColumnRenamed("c_custkey", "o_custkey")
+    return _orders(spark, sf_dir).join(customers, "o_custkey", "left_anti").select("o_orderkey").df()
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = Session(spark, workspace(spark)).create_dataset("customer", global_id="c_custkey")
+    frame.write(_read(spark, sf_dir, "customer"))
+    nations = F.broadcast(_read(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey"))  # 25 rows whatever the scale
+    return frame.join(nations, "c_nationkey").select("c_custkey", "n_name").df()
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 4) AS mean, round(avg(l_quantity * l_discount), 6) AS weighed FROM lineitem GROUP BY l_returnflag")
+def agg_sum_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _lines(spark, sf_dir).group_by("l_returnflag")
+    return f.agg(total=F.round(F.sum("l_extendedprice"), 2), mean=F.round(F.avg("l_extendedprice"), 4), weighed=F.round(F.avg(F.col("l_quantity") * F.col("l_discount")), 6)).df()
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def agg_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).group_by("event_type").agg(n=F.count(F.lit(1)), total=F.round(F.sum("value"), 4), low=F.min("value"), high=F.max("value")).df()
@@ -243,6 +293,14 @@ def scalar_and_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", "l_quantity_add_5", "third", "l_quantity_plus_l_tax", "l_quantity_minus_l_tax", "l_quantity_mul_l_tax")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity - 2 AS l_quantity_sub_2, l_quantity * 3 AS l_quantity_mul_3, l_quantity + 1 AS more FROM lineitem")
+def scalar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _lines(spark, sf_dir)
+    for operation, value, name in (("sub", 2, None), ("mul", 3, None), ("add", 1, "more")):
+        f = f.apply({"op": "scalar_op", "column": "l_quantity", "operation": operation, "value": value} | ({"name": name} if name else {}))
+    return f.select("l_orderkey", "l_linenumber", "l_quantity_sub_2", "l_quantity_mul_3", "more").df()
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity + l_discount + l_tax AS sum_l_quantity_l_discount_l_tax, l_quantity * l_discount * l_tax AS prod_l_quantity_l_discount_l_tax, l_quantity * 0.5 + l_tax * 2.0 AS weighted_sum FROM lineitem")
 def sums_and_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _read(spark, sf_dir, "lineitem")
@@ -344,6 +402,25 @@ def vector_filter_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).apply({"op": "filter_by_index", "column": "embedding", "index": 3, "condition": "BETWEEN", "bound": [-0.1, 0.1]}).select("vec_id").df()
 
 
+@query(
+    " UNION ALL ".join(f"SELECT vec_id, '{op}' AS test FROM embeddings WHERE embedding[2] {op} 0.05" for op in (">", ">=", "<", "<="))
+    + " UNION ALL SELECT vec_id, '=' FROM embeddings WHERE len(embedding) = 64 UNION ALL SELECT vec_id, '!=' FROM embeddings WHERE embedding[2] <> 0"
+)
+def vector_filter_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _vectors(spark, sf_dir)
+    tests = [f.apply({"op": "filter_by_index", "column": "embedding", "index": 1, "condition": op, "bound": 0.05}).df().select("vec_id", F.lit(op).alias("test")) for op in (">", ">=", "<", "<=")]
+    tests.append(f.with_column("n", col("embedding").v_len()).filter(col("n") == 64).df().select("vec_id", F.lit("=").alias("test")))
+    tests.append(f.apply({"op": "filter_by_index", "column": "embedding", "index": 1, "condition": "!=", "bound": 0}).df().select("vec_id", F.lit("!=").alias("test")))
+    return sum_union(tests)
+
+
+@query("SELECT vec_id, r AS row, CAST(list_sum(CAST(embedding[r * 16 + 1:r * 16 + 16] AS DOUBLE[])) * 1000 AS BIGINT) AS total FROM embeddings, (SELECT unnest(range(4)) AS r)")
+def vector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir).apply({"op": "matrix", "column": "embedding", "width": 16, "name": "rows"}).df()
+    df = df.select("vec_id", F.posexplode("rows").alias("row", "part"))
+    return df.select("vec_id", F.col("row").cast("long").alias("row"), F.round(v.reduce_array(F.col("part"), "sum") * 1000).cast("long").alias("total"))
+
+
 @query("SELECT vec_id, 'any' AS kind FROM embeddings WHERE len(list_filter(embedding[1:8], lambda x: x > 0.2)) > 0 UNION ALL SELECT vec_id, 'all' FROM embeddings WHERE len(list_filter(embedding[1:3], lambda x: x > 0)) = 3")
 def vector_filter_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _vectors(spark, sf_dir)
@@ -424,3 +501,32 @@ def delete_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _vectors(spark, sf_dir)
     f.filter(col("embedding").cosine_sim(_QUERY) > 0.05).delete()
     return f.select("vec_id", "label").df()
+
+
+@query(f"SELECT vec_id, CASE WHEN list_cosine_similarity({_E}, {_LIST}) > 0.05 THEN label + 100 ELSE label END AS label FROM embeddings")
+def update_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _vectors(spark, sf_dir)
+    f.filter(col("embedding").cosine_sim(_QUERY) > 0.05).update({"label": col("label") + 100})
+    return f.select("vec_id", "label").df()
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_orderkey END AS first, CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE o_custkey END AS second FROM orders")
+def update_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of an update are of the row before it."""
+    rows = _read(spark, sf_dir, "orders").withColumns({"first": F.col("o_orderkey"), "second": F.col("o_custkey")})
+    f = Session(spark, workspace(spark)).create_dataset("orders", hash_dims={"o_orderstatus": 3}, global_id="o_orderkey")
+    f.write(rows)
+    f.filter(col("o_orderstatus") == "F").update({"first": col("second"), "second": col("first")})
+    return f.select("o_orderkey", "first", "second").df()
+
+
+@query("SELECT 'before' AS at, o_orderkey, o_totalprice FROM orders UNION ALL SELECT 'after', o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderstatus <> 'P'")
+def reopened_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes outlive the session that made them, beside a write that never ended."""
+    f = _orders(spark, sf_dir)
+    f.update({"o_totalprice": col("o_totalprice") + 1})
+    f.filter(col("o_orderstatus") == "P").delete()
+    f.table._put(f.table.dataframe().select(*f.table.schema.names), 4)
+    again, then = Frame(Table(spark, f.table.path)), Frame(Table(spark, f.table.path), as_of=1)
+    old = then.select("o_orderkey", "o_totalprice").df().select(F.lit("before").alias("at"), "o_orderkey", "o_totalprice")
+    return old.union(again.select("o_orderkey", "o_totalprice").df().select(F.lit("after"), "o_orderkey", "o_totalprice"))

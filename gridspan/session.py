@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 import pandas as pd
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspan.operators.registry import apply_step
-from gridspan.plans.expressions import Both, Expr, Named, Predicate, compile_expr, compile_predicate, parse, references
+from gridspan.operators.registry import apply_step, keeps_columns
+from gridspan.plans.expressions import Both, ColumnRef, Expr, Named, Predicate, compile_expr, compile_predicate, parse, references
 from gridspan.sources.table import Table
 
 
@@ -29,16 +30,21 @@ class Session:
 class Frame:
     """An immutable query over a table: a predicate on its rows, then steps from DataFrame to DataFrame."""
 
-    def __init__(self, table: Table, predicate: Predicate | None = None, steps: tuple = (), as_of: int | None = None) -> None:
+    def __init__(self, table: Table, predicate: Predicate | None = None, steps: tuple = (), as_of: int | None = None, rowwise: bool = True, later: Predicate | None = None) -> None:
         self.table, self.predicate, self.steps, self.as_of = table, predicate, steps, as_of
+        #: Whether all steps so far treat each row by itself and leave stored columns as they are.
+        self.rowwise = rowwise
+        #: What later filters say about stored columns of the rows they keep; it helps to skip partitions.
+        self.later = later
 
-    def _then(self, step: Any) -> Frame:
-        return Frame(self.table, self.predicate, (*self.steps, step), self.as_of)
+    def _then(self, step: Any, rowwise: bool = False, later: Predicate | None = None) -> Frame:
+        both = later if self.later is None else self.later if later is None else Both(self.later, "AND", later)
+        return Frame(self.table, self.predicate, (*self.steps, step), self.as_of, self.rowwise and rowwise, both)
 
     def df(self) -> DataFrame:
         """The query as a DataFrame."""
         with self.table.pinned():
-            out = self.table.dataframe(self.predicate, self.as_of).select(*self.table.schema.names)
+            out = self.table.dataframe(self.predicate, self.as_of, later=self.later).select(*self.table.schema.names)
         for step in self.steps:
             out = step(out)
         return out
@@ -46,26 +52,28 @@ class Frame:
     def filter(self, condition: Any) -> Frame:
         """Keep rows where the condition is true; repeated filters are joined by AND. It may use computed columns."""
         if isinstance(condition, Column):
-            return self._then(lambda df: df.filter(condition))
-        p = parse(condition)
-        if not self.steps and references(p) <= set(self.table.schema.names):
+            return self._then(lambda df: df.filter(condition), True)
+        p, step = parse(condition), lambda df: df.filter(compile_predicate(p, df))
+        stored = references(p) <= set(self.table.schema.names)
+        if not self.steps and stored:
             return Frame(self.table, p if self.predicate is None else Both(self.predicate, "AND", p), (), self.as_of)
-        return self._then(lambda df: df.filter(compile_predicate(p, df)))
+        return self._then(step, True, p if stored and self.rowwise else None)
 
     def select(self, *columns: Any) -> Frame:
-        return self._then(lambda df: df.select(*(compile_expr(c, df) if isinstance(c, Expr) else c for c in columns)))
+        kept = all(isinstance(c, (str, ColumnRef)) or isinstance(c, Named) and c.name not in self.table.schema.names for c in columns)
+        return self._then(lambda df: df.select(*(compile_expr(c, df) if isinstance(c, Expr) else c for c in columns)), kept)
 
     def with_column(self, name: str, expr: Any) -> Frame:
         """Add a computed column; a stored one cannot be replaced."""
         if name in self.table.schema.names:
             raise ValueError(f"{name} is a stored column")
-        return self._then(lambda df: df.withColumn(name, compile_expr(expr.source if isinstance(expr, Named) else expr, df) if isinstance(expr, Expr) else expr))
+        return self._then(lambda df: df.withColumn(name, compile_expr(expr.source if isinstance(expr, Named) else expr, df) if isinstance(expr, Expr) else expr), True)
 
     def apply(self, *steps: dict) -> Frame:
         """Apply named operations, each {"op": name, **args}."""
         out = self
         for step in steps:
-            out = out._then(lambda df, step=step: apply_step(df, step))
+            out = out._then(lambda df, step=step: apply_step(df, step), keeps_columns(step, self.table.schema.names))
         return out
 
     def transform(self, f: Any) -> Frame:
@@ -150,6 +158,15 @@ class Frame:
     def count(self) -> int:
         return self.df().count()
 
+    def explain(self, mode: str = "formatted") -> None:
+        """Print what the frame filters by, its steps and changes, then Spark's plan."""
+        with self.table.pinned():
+            print(f"table: {self.table.path}, snapshot {self.table.tid if self.as_of is None else self.as_of}, changes folded in: {len(self.table.patches(self.as_of))}")
+        print(f"filter: {None if self.predicate is None else json.dumps(self.predicate.to_json(), default=str)}")
+        print(f"also skipping partitions by: {None if self.later is None else json.dumps(self.later.to_json(), default=str)}")
+        print(f"steps: {len(self.steps)}")
+        self.df().explain(mode)
+
 
 class Grouped:
     def __init__(self, frame: Frame, how: str, keys: tuple[str, ...]) -> None:

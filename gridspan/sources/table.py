@@ -1,28 +1,34 @@
 """Tables laid out by coordinates, with merge-on-read updates and deletes.
 
-Rows lie in Parquet files under directories of their write's number, row chunk and dimension buckets. Updates
-and deletes are recorded as small JSON patches and folded into the plan of each read.
+Rows lie in Parquet files under directories of their write's number and attempt, row chunk and dimension buckets.
+Updates and deletes are recorded as small JSON patches and folded into the plan of each read.
+
+A write exists once the description names its attempt; that one file is replaced in one step. What a crash or a
+lost executor leaves behind is never named, so never read, and vacuum() removes it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gridspan.operators.registry import apply_step
 from gridspan.plans.expressions import Predicate, compile_predicate, parse, references, wrap
 from gridspan.plans.patches import TID, fold, make_patch, patched_columns
 from gridspan.plans.prune import Dimension, implied
-from gridspan.sources.files import Files
+from gridspan.sources.files import Files, Lock
 
 META = "_meta/table.json"
+#: Partition column of a write's attempt.
+TRY = "__try"
 
 
 class Table:
@@ -35,6 +41,7 @@ class Table:
             raise FileNotFoundError(path)
         self._cached: dict[tuple, DataFrame] = {}
         self._pinned: dict | None = None
+        self._listed: tuple[tuple, DataFrame] | None = None
 
     @contextmanager
     def pinned(self) -> Iterator[None]:
@@ -56,7 +63,7 @@ class Table:
             raise FileExistsError(path)
         files.write(
             META,
-            {"chunk_rows": chunk_rows, "chunk_cols": chunk_cols, "hash_dims": hash_dims or {}, "range_dims": range_dims or {}, "global_id": global_id or "global_id", "next_id": 0, "tid": 0, "version": 0, "folded": 0, "schema": None},
+            {"chunk_rows": chunk_rows, "chunk_cols": chunk_cols, "hash_dims": hash_dims or {}, "range_dims": range_dims or {}, "global_id": global_id or "global_id", "next_id": 0, "tid": 0, "folded": 0, "schema": None, "writes": [], "changes": [], "streams": {}},
         )
         return cls(spark, path)
 
@@ -97,74 +104,101 @@ class Table:
             return self.spark.createDataFrame(rows)
         raise TypeError(f"cannot write {type(rows).__name__}")
 
-    def _with_ids(self, df: DataFrame, name: str, first: int) -> tuple[DataFrame, int]:
-        """Consecutive ids from counts by partition: no global sort, no single task."""
-        df = df.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}).persist()
-        counts = {r["__part"]: r["count"] for r in df.groupBy("__part").count().collect()}
-        offsets, at = [], first
-        for p in range(max(counts, default=-1) + 1):
-            offsets.append(at)
-            at += counts.get(p, 0)
-        start = F.element_at(F.array(*(F.lit(o).cast("long") for o in offsets)), F.col("__part") + 1) if offsets else F.lit(first).cast("long")
-        return df.withColumn(name, start + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__place"), at
-
-    def write(self, rows: Any) -> int:
-        """Append rows; returns the write's number. Columns may be added, then they must match."""
+    def _with_ids(self, df: DataFrame, name: str, first: int, stage: str) -> tuple[DataFrame, int]:
+        """Consecutive ids from counts by partition: no global sort, no single task.
+
+        Rows are first written down with their partition and place, so a task that runs again cannot number them anew.
+        """
+        df.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).write.parquet(f"{self.path}/{stage}")
+        df = self.spark.read.parquet(f"{self.path}/{stage}")
+        counts = df.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        # One row for each partition of the written rows.
+        offsets = counts.select("__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + first).alias("__first"))
+        total = df.count()
+        return df.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__place", "__first"), first + total
+
+    def _put(self, df: DataFrame, tid: int) -> dict:
+        """Write rows as a new attempt, which nothing reads until the description names it; a hot bucket is split over tasks."""
+        kinds = {f.name: f.dataType for f in df.schema}
+        df = df.withColumns({d.column: d.bucket(F.col(f"`{d.source}`"), kinds[d.source]) for d in self.dims})
+        keys, attempt = [d.column for d in self.dims], str(uuid.uuid4())
+        dealt = df.hint("rebalance", *map(F.col, keys)).sortWithinPartitions(*keys, self.meta["global_id"])
+        dealt.write.partitionBy(*keys).parquet(f"{self.path}/{_folder(tid, attempt)}", compression="zstd")
+        return {"tid": tid, "try": attempt}
+
+    def _commit(self, lock: Lock, before: dict, change: dict) -> None:
+        lock.check()
+        if self.files.read(META)["tid"] != before["tid"]:
+            raise RuntimeError(f"{self.path} was changed by another writer")
+        self.files.write(META, before | change)
+        self.close()
+
+    def write(self, rows: Any, stream: tuple[str, int] | None = None) -> int:
+        """Append rows; returns the write's number. Columns may be added, then they must match.
+
+        A batch of a stream, given as (stream, number), is recorded together with its rows; if it was before, nothing is written.
+        """
         df = self._frame(rows)
-        with self.files.lock():
-            m, dims = self.meta, self.dims
-            name, tid = m["global_id"], m["tid"] + 1
-            if missing := [d.source for d in dims if d.source not in (*df.columns, name)]:
+        with self.files.lock() as lock:
+            m, stage = self.files.read(META), f"_staging/{uuid.uuid4()}"
+            if stream is not None and m["streams"].get(stream[0], -1) >= stream[1]:
+                return m["tid"]
+            before, name, tid = dict(m), m["global_id"], m["tid"] + 1
+            if missing := [d.source for d in self.dims if d.source not in (*df.columns, name)]:
                 raise ValueError(f"dimension columns are missing: {missing}")
-            persisted = None
-            if name not in df.columns:
-                df, m["next_id"] = self._with_ids(df, name, m["next_id"])
-                persisted = df
+            numbered = name not in df.columns
+            if numbered:
+                df, m["next_id"] = self._with_ids(df, name, m["next_id"], stage)
             if m["schema"]:
                 old = StructType.fromJson(m["schema"])
                 have = {f.name for f in df.schema}
                 df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in old), *(c for c in df.columns if c not in old.names))
             schema = StructType([StructField(f.name, f.dataType) for f in df.schema])
-            kinds = {f.name: f.dataType for f in schema}
-            df = df.withColumns({d.column: d.bucket(F.col(f"`{d.source}`"), kinds[d.source]) for d in dims} | {TID: F.lit(tid).cast("long")})
-            keys = [d.column for d in dims]
-            df.repartition(*keys).sortWithinPartitions(*keys, name).write.mode("append").partitionBy(TID, *keys).parquet(f"{self.path}/data/v{m['version']}", compression="zstd")
-            self.files.write(META, m | {"tid": tid, "schema": schema.jsonValue()})
-            if persisted is not None:
-                persisted.unpersist()
-        self.close()
+            found = self._put(df, tid)
+            streams = m["streams"] | ({} if stream is None else {stream[0]: stream[1]})
+            self._commit(lock, before, {"tid": tid, "next_id": m["next_id"], "schema": schema.jsonValue(), "writes": [*m["writes"], found], "streams": streams})
+            if numbered:
+                self.files.delete(stage)
         return tid
 
     def patches(self, as_of: int | None = None) -> list[dict]:
         m = self.meta
-        found = [self.files.read(f"_patches/{n}") for n in self.files.names("_patches") if n.endswith(".json")]
-        return [p for p in found if p["tid"] > m["folded"] and (as_of is None or p["tid"] <= as_of)]
+        return [self.files.read(_patch(t)) for t in m["changes"] if as_of is None or t <= as_of]
 
-    def _stored(self) -> DataFrame:
+    def _stored(self, as_of: int | None = None) -> DataFrame:
         m = self.meta
-        kept = [f for f in self.schema]
-        full = StructType([*kept, *(StructField(d.column, LongType()) for d in self.dims), StructField(TID, LongType())])
-        place = f"data/v{m['version']}"
-        if not self.files.exists(place):
+        if as_of is not None and as_of < m["folded"]:
+            raise ValueError(f"snapshot {as_of} ended with the compaction at {m['folded']}")
+        full = StructType([*self.schema, StructField(TID, LongType()), StructField(TRY, StringType()), *(StructField(d.column, LongType()) for d in self.dims)])
+        writes = [w for w in m["writes"] if as_of is None or w["tid"] <= as_of]
+        if not writes:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(f"{self.path}/{place}")
-
-    def dataframe(self, predicate: Predicate | None = None, as_of: int | None = None, prune: bool = True) -> DataFrame:
-        """The rows at a snapshot (the newest by default) that satisfy a predicate, with the partition columns."""
+        if self._listed is not None and self._listed[0] == (writes, full):
+            return self._listed[1]
+        # Committed attempts never change, so their files are listed once.
+        df = self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/{_folder(w['tid'], w['try'])}" for w in writes))
+        self._listed = ((writes, full), df)
+        return df
+
+    def dataframe(self, predicate: Predicate | None = None, as_of: int | None = None, prune: bool = True, later: Predicate | None = None) -> DataFrame:
+        """The rows at a snapshot (the newest by default) that satisfy a predicate, with the partition columns.
+
+        `later` is a predicate on stored columns that the caller applies itself further on; here it only helps to skip partitions.
+        """
         with self.pinned():
-            return self._planned(predicate, as_of, prune)
+            return self._planned(predicate, as_of, prune, later)
 
-    def _planned(self, predicate: Predicate | None, as_of: int | None, prune: bool) -> DataFrame:
+    def _planned(self, predicate: Predicate | None, as_of: int | None, prune: bool, later: Predicate | None = None) -> DataFrame:
         patches = self.patches(as_of)
-        df = self._stored()
-        if as_of is not None:
-            df = df.filter(F.col(TID) <= as_of)
-        if prune and predicate is not None:
+        df = self._stored(as_of)
+        if prune:
             # Buckets describe rows as written; a patched column says nothing about them.
             dims = [d for d in self.dims if d.source not in patched_columns(patches)]
-            found = implied(predicate, dims, {f.name: f.dataType for f in df.schema})
-            if found is not None:
-                df = df.filter(found)
+            for p in (predicate, later):
+                found = implied(p, dims, {f.name: f.dataType for f in df.schema})
+                if found is not None:
+                    df = df.filter(found)
         df = fold(df, patches)
         return df if predicate is None else df.filter(compile_predicate(predicate, df))
 
@@ -176,11 +210,8 @@ class Table:
         return df if columns is None else df.select(*columns)
 
     def candidates(self, filters: Any = None) -> list[str]:
-        """Files that a filtered read has to open."""
-        return self.dataframe(parse(filters)).inputFiles() if filters is None else self._pruned_files(parse(filters))
-
-    def _pruned_files(self, predicate: Predicate | None) -> list[str]:
-        df = self._stored()
+        """Files that a filtered read has to open: one name each reaches the driver. Of the files only the footers are read."""
+        df, predicate = self._stored(), parse(filters)
         dims = [d for d in self.dims if d.source not in patched_columns(self.patches())]
         found = implied(predicate, dims, {f.name: f.dataType for f in df.schema})
         df = df if found is None else df.filter(found)
@@ -195,12 +226,11 @@ class Table:
         if unknown := (references(predicate) | set().union(*(references(e) for e in (updates or {}).values()), set(updates or {}))) - set(self.schema.names):
             raise ValueError(f"unknown columns: {sorted(unknown)}")
         n = self.dataframe(predicate).count() if count else None
-        with self.files.lock():
-            m = self.meta
+        with self.files.lock() as lock:
+            m = self.files.read(META)
             tid = m["tid"] + 1
-            self.files.write(f"_patches/{tid:020d}.json", make_patch(tid, operation, predicate, updates))
-            self.files.write(META, m | {"tid": tid})
-        self.close()
+            self.files.write(_patch(tid), make_patch(tid, operation, predicate, updates))
+            self._commit(lock, m, {"tid": tid, "changes": [*m["changes"], tid]})
         return n
 
     def update(self, filters: Any, updates: dict[str, Any], count: bool = False) -> int | None:
@@ -212,27 +242,26 @@ class Table:
         return self._record("delete", parse(filters), None, count)
 
     def compact(self) -> None:
-        """Fold all patches into a new version of the data. Older snapshots end here."""
-        with self.files.lock():
-            m = self.meta
-            df = self.dataframe()
-            kinds = {f.name: f.dataType for f in df.schema}
-            dims = self.dims
-            df = df.withColumns({d.column: d.bucket(F.col(f"`{d.source}`"), kinds[d.source]) for d in dims} | {TID: F.lit(m["tid"]).cast("long")})
-            keys, version = [d.column for d in dims], m["version"] + 1
-            df.repartition(*keys).sortWithinPartitions(*keys, m["global_id"]).write.mode("overwrite").partitionBy(TID, *keys).parquet(f"{self.path}/data/v{version}", compression="zstd")
-            self.files.write(META, m | {"version": version, "folded": m["tid"]})
-        self.close()
+        """Fold all changes into one new write. Older snapshots end here: reading one raises an error."""
+        with self.files.lock() as lock:
+            m = self.files.read(META)
+            found = self._put(self.dataframe().select(*self.schema.names), m["tid"])
+            self._commit(lock, m, {"writes": [found], "changes": [], "folded": m["tid"]})
 
     def vacuum(self) -> None:
-        """Remove data and patches that no read needs any more."""
+        """Remove data, staged rows and changes that no read needs any more, those of writes that never ended included."""
         with self.files.lock():
-            m = self.meta
-            for name in self.files.names("data"):
-                if name != f"v{m['version']}":
-                    self.files.delete(f"data/{name}")
+            m = self.files.read(META)
+            named = {_folder(w["tid"], w["try"]) for w in m["writes"]}
+            for tid in self.files.names("data"):
+                for attempt in self.files.names(f"data/{tid}"):
+                    if f"data/{tid}/{attempt}" not in named:
+                        self.files.delete(f"data/{tid}/{attempt}")
+                if not self.files.names(f"data/{tid}"):
+                    self.files.delete(f"data/{tid}")
+            self.files.delete("_staging")
             for name in self.files.names("_patches"):
-                if int(name.split(".")[0]) <= m["folded"]:
+                if f"_patches/{name}" not in map(_patch, m["changes"]):
                     self.files.delete(f"_patches/{name}")
 
     def cache(self) -> DataFrame:
@@ -246,3 +275,11 @@ class Table:
 
     def transform(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
         return f(self.scan())
+
+
+def _folder(tid: int, attempt: str) -> str:
+    return f"data/{TID}={tid}/{TRY}={attempt}"
+
+
+def _patch(tid: int) -> str:
+    return f"_patches/{tid:020d}.json"

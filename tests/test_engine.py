@@ -1,8 +1,10 @@
 """The engine on small tables with nulls, edges and restarts, and every query against DuckDB."""
 
+import datetime
 import json
 import math
 import random
+import time
 
 import duckdb
 import pyarrow as pa
@@ -163,6 +165,97 @@ def test_vectors(spark):
     assert [r.i for r in apply_step(df, {"op": "double", "column": "i"}).collect()] == [2, 4, 6, 8]
 
 
+def test_concat_and_matrix(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], None), (None, None), ([], [5.0]), ([None, 1.0], [2.0])], "x array<double>, y array<double>")
+    assert [r[0] for r in df.select(v.concat_arrays(F.col("x"), F.col("y"))).collect()] == [[1.0, 2.0, 3.0, 4.0], [], [5.0], [None, 1.0, 2.0]]
+    assert [r[0] for r in df.select(v.matrix(F.col("x"), 2)).collect()] == [[[1.0, 2.0], [3.0, 4.0]], None, [], [[None, 1.0]]]
+    with pytest.raises(Exception, match="whole rows"):
+        df.select(v.matrix(F.col("x"), 3)).collect()
+    with pytest.raises(ValueError):
+        v.matrix(F.col("x"), 0)
+
+
+def test_pruning_of_odd_numbers(spark, session):
+    rows = [(1, math.nan, 1.5, 3), (2, 150.0, -0.0, 100), (3, -0.0, 0.0, -128), (4, math.inf, math.nan, 127), (5, None, None, None), (6, -math.inf, 7.0, 0)]
+    f = session.create_dataset("t", hash_dims={"h": 4, "b": 3}, range_dims={"x": 10, "y": 2}, global_id="i")
+    f.write(spark.createDataFrame([(i, x, y, x, b) for i, x, y, b in rows], "i long, x double, y float, h double, b byte"))
+    tests = [("x", op, n) for op in ("=", "<", "<=", ">", ">=", "!=") for n in (100, 0.0, -0.0, math.nan, math.inf, 6.999999999, 1e300)]
+    tests += [("y", op, n) for op in ("=", "<", ">=") for n in (0, 0.1, 1.9999999999, math.nan)] + [("h", "=", n) for n in (0.0, -0.0, 150, math.nan)]
+    tests += [("b", op, n) for op in ("=", "<", ">") for n in (300, -300, 127, 0)] + [("x", "BETWEEN", [100, math.nan]), ("x", "IN", [math.nan, -0.0])]
+    for t in tests:
+        assert values(f.table.dataframe(parse(t)), "i") == values(f.table.dataframe(parse(t), prune=False), "i"), t
+    assert values(f.filter(("x", ">", 100)).df(), "i") == [(1,), (2,), (4,)] and values(f.filter(("h", "=", 0.0)).df(), "i") == [(3,)]
+
+
+def test_pruning_in_other_time_zones(spark, session):
+    days = [datetime.datetime(2024, 3, 9 + d, h) for d in range(4) for h in (0, 5, 23)]
+    rows = spark.createDataFrame([(i, d, d.date()) for i, d in enumerate(days)], "i long, n timestamp_ntz, d date").withColumn("t", F.col("n").cast("timestamp"))
+    f = session.create_dataset("t", hash_dims={"t": 5}, range_dims={"n": 3_600_000_000, "d": 86_400_000_000}, global_id="i")
+    f.write(rows)
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            again = session.read("t").table
+            for c in "ndt":
+                for op in ("=", "<", ">=", "BETWEEN"):
+                    for x in (days[4], days[6].date()):
+                        p = parse((c, op, [x, days[9]] if op == "BETWEEN" else x))
+                        assert values(again.dataframe(p), "i") == values(again.dataframe(p, prune=False), "i"), (zone, c, op, x)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_what_never_ended_is_not_read(spark, session):
+    f = session.create_dataset("t", hash_dims={"k": 2})
+    f.write({"k": ["a", "b"]})
+    before = f.table.files.read("_meta/table.json")
+    f.write({"k": ["c"]})
+    f.filter(col("k") == "a").delete()
+    f.table.files.write("_meta/table.json", before)  # as if both had crashed before their commit
+    again = session.read("t")
+    assert again.count() == 2 and again.df().filter("k = 'a'").count() == 1
+    again.write({"k": ["c"]})
+    assert values(session.read("t").df(), "global_id", "k") == [(0, "a"), (1, "b"), (2, "c")]
+    again.table.vacuum()
+    assert session.read("t").count() == 3 and len(again.table.files.names("data/__tid=2")) == 1 and not again.table.files.names("_patches")
+    again.table.compact()
+    assert session.read("t").count() == 3 and session.read("t", as_of=2).count() == 3
+    with pytest.raises(ValueError, match="compaction"):
+        session.read("t", as_of=1).count()
+    again.table.vacuum()
+    again.write({"k": ["d"], "more": [1]})
+    assert session.read("t").count() == 4 and session.read("t", as_of=2).df().filter("more is null").count() == 3
+
+
+def test_locks(spark, session):
+    files = session.create_dataset("t").table.files
+    with files.lock() as one, pytest.raises(TimeoutError, match="locked"):
+        one.check()
+        with files.lock(patience=0.3):
+            pass
+    files.write("_meta/lock", {"owner": "dead", "until": time.time() - 1})
+    with files.lock(patience=5.0) as two:
+        files.write("_meta/lock", {"owner": "thief", "until": time.time() + 1})
+        with pytest.raises(TimeoutError, match="lost"):
+            two.check()
+    assert files.read("_meta/lock")["owner"] == "thief"  # a lock that was lost is not removed
+    assert session.read("t").write({"x": [1]}) == 1
+
+
+def test_filters_after_steps_skip_partitions(spark, session, capsys):
+    f = session.create_dataset("t", chunk_rows=10, hash_dims={"k": 2}, global_id="i")
+    f.write({"i": list(range(30)), "k": [i % 3 for i in range(30)], "v": [float(i) for i in range(30)]})
+    filters = lambda g: g.df()._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    late = f.with_column("w", col("v") * 2).filter(col("w") > 4).select("i", "w").filter(col("i") == 5)
+    assert "__range_i" in filters(late) and values(late.df(), "i", "w") == [(5, 10.0)]
+    assert "__range_i" not in filters(f.limit(20).filter(col("i") == 5))
+    assert "__range_i" not in filters(f.select((col("i") + 1).alias("i")).filter(col("i") == 5))
+    assert values(f.select((col("i") + 10).alias("i")).filter(col("i") == 15).df(), "i") == [(15,)]
+    assert "__range_i" not in filters(f.apply({"op": "scalar_op", "column": "v", "operation": "add", "value": 1, "name": "i"}).filter(col("i") == 5))
+    late.explain()
+    assert "also skipping partitions by" in (said := capsys.readouterr().out) and "Physical Plan" in said
+
+
 def test_frame_steps(spark, session):
     f = session.create_dataset("t", chunk_rows=10, hash_dims={"k": 2}, global_id="i")
     f.write({"i": list(range(30)), "k": [i % 3 for i in range(30)], "v": [[float(j) for j in range(5)]] * 30})
@@ -174,6 +267,18 @@ def test_frame_steps(spark, session):
     assert f.table.cache().count() == 30 and f.table.valid_ids(("i", "<", 3)).count() == 3
 
 
+def test_streams_of_one_name(spark, session, tmp_path):
+    """Progress folders of one base name, and a batch that is sent again after its commit."""
+    for k in range(2):
+        spark.range(10 * k, 10 * k + 10).withColumnRenamed("id", "i").write.parquet(str(tmp_path / f"in{k}"))
+    f = session.create_dataset("t", global_id="i")
+    for k in range(2):
+        append_stream(spark.readStream.schema("i long").parquet(str(tmp_path / f"in{k}")), f.table, str(tmp_path / f"{k}" / "progress")).awaitTermination()
+    assert values(f.df(), "i") == [(i,) for i in sorted(range(20), key=str)]
+    stream, number = max(f.table.meta["streams"].items())
+    assert f.table.write(spark.range(5).withColumnRenamed("id", "i"), (stream, number)) == 2 and f.count() == 20
+
+
 def test_stream_is_appended_once(spark, session, tmp_path):
     spark.range(50).withColumnRenamed("id", "i").write.parquet(str(tmp_path / "in"))
     f = session.create_dataset("t", global_id="i")
