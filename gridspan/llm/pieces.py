@@ -10,10 +10,11 @@ piece of a prefix is the one that merging would leave standing next to the last
 
 from __future__ import annotations
 
+import math
 import re
+import string
 from array import array
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,15 @@ from gridspan.llm.common import binary_list, in_groups, ship
 
 MARK = "▁"
 _LINES = re.compile(r"\n+|[^\n]+")
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Bytes of words and their ids that a worker remembers, then it starts anew; longer words are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 48 << 20, 64
+_RUNS = re.compile(" +[^ ]*")
+_SPLIT = "\0"
+#: Bytes of words and their ids that a worker remembers in each of two generations; longer words are not remembered.
+REMEMBERED, LONGEST_REMEMBERED = 80 << 20, 64
 #: Bytes that one remembered word takes besides its letters and ids.
-OVERHEAD = 200
-#: Pairs of pieces of which a worker remembers whether merging leaves them apart; each takes about 100 bytes.
-PAIRS = 200_000
+OVERHEAD = 180
+#: Pairs of pieces of which a worker remembers whether merging leaves them apart, and ends of words of which it remembers the
+#: lengths of pieces that end so; each takes about 100 bytes.
+PAIRS, TAILS = 200_000, 100_000
 #: Bytes of texts that are encoded together.
 GROUP = 1 << 21
 
@@ -47,20 +50,33 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.mode = mode
-        self.piece = [sp.id_to_piece(i) for i in range(n)]
+        # A space stands for the mark here, which keeps words of ASCII or Latin-1 at a byte a character.
+        self.piece = [sp.id_to_piece(i).replace(MARK, " ") for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         self.id = {p: i for i, p in enumerate(self.piece) if not special[i]}
         self.score = [sp.get_score(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.text = [b"" if sp.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
+        self.text = [b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.piece)]
         for b, i in self.byte.items():
             self.text[i] = bytes([b])
         #: Line ends are cut off where no piece holds one: they are coded byte by byte and merge with nothing.
         self.lines = not any("\n" in p for p in self.id)
+        #: ASCII punctuation that no piece joins to a letter or digit; words are cut there too, so more of them are equal.
+        joined = {c for p in self.id for a, b in zip(p, p[1:], strict=False) if a.isalnum() != b.isalnum() for c in (a, b)}
+        self.loose = frozenset(string.punctuation) - joined
+        loose = re.escape("".join(sorted(self.loose)))
+        self.cuts = re.compile(f"(?<=[^\\W_])(?=[{loose}])|(?<=[{loose}])(?=[^\\W_])") if loose else None
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.id))
+        #: Lengths of the pieces of three or more characters by their last three.
+        self.ending: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                self.ending.setdefault(p[-3:], set()).add(len(p))
+        self.tails: dict[str, tuple[int, ...]] = {}
         self.stands: dict[int, bool] = {}
+        #: Ids of the words met lately, and of those met before; a word that is met again moves to the first.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
     def _merge(self, parts: list[str]) -> list[str]:
@@ -87,92 +103,103 @@ class Pieces:
             found = self.stands[key] = self._merge(list("".join(want))) == want
         return found
 
-    def _unigram(self, word: str, end: int, starts: array, last: array, totals: array) -> None:
-        """Add the state of the prefix of `end` characters: start and id of its last piece (-1: none), highest sum of scores."""
-        start, total, best = end - 1, totals[end - 1] - 1e6, -1
-        for at in range(max(0, end - self.longest), end):
-            i = self.id.get(word[at:end])
-            if i is not None and (sum_ := totals[at] + self.score[i]) >= total:
-                start, total, best = at, sum_, i
-        starts.append(start)
-        last.append(best)
-        totals.append(total)
-
-    def _bpe(self, word: str, end: int, starts: array, last: array) -> None:
-        """Add the state of the prefix of `end` characters: start and id of its last piece (-1: none) if merged."""
-        find = self.id.get
-        for at in range(max(0, end - self.longest), end):
-            i = find(word[at:end])
-            if i is None:
-                continue
-            before = last[at]
-            # A character without a piece merges with nothing.
-            if at and before < 0 or self._stand(before, i):
-                starts.append(at)
-                last.append(i)
-                return
-        starts.append(end - 1)
-        last.append(-1)
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths, the largest first, of the pieces that may end a prefix whose last characters, three at most, are `tail`."""
+        found = self.tails.get(tail)
+        if found is None:
+            if len(self.tails) > TAILS:
+                self.tails.clear()
+            short = [n for n in (2, 1) if tail[-n:] in self.id and n <= len(tail)]
+            found = self.tails[tail] = (*sorted(self.ending.get(tail, ()), reverse=True), *short)
+        return found
+
+    def _grow(self, word: str, states: list[int], totals: list[float]) -> None:
+        """Add the states of the prefixes of `word` that have none yet: the id of the last piece of each, -1 if it is a character without one."""
+        find, stands, many, merging = self.id.get, self.stands, len(self.piece), self.mode == "bpe"
+        for end in range(len(states), len(word) + 1):
+            tail = word[end - 3 : end] if end > 3 else word[:end]
+            state, total = -1, -math.inf if merging else totals[end - 1] - 1e6
+            for n in self.tails.get(tail) or self._lengths(tail):
+                i = find(word[end - n : end]) if n <= end else None
+                if i is None:
+                    continue
+                before = states[end - n]
+                if merging:
+                    # A character without a piece merges with nothing.
+                    if n == end or before < 0 or (stands[key] if (key := before * many + i) in stands else self._stand(before, i)):
+                        state = i
+                        break
+                elif (sum_ := totals[end - n] + self.score[i]) >= total:
+                    state, total = i, sum_
+            states.append(state)
+            if not merging:
+                totals.append(total)
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, walking them in order and keeping the states of shared prefixes."""
-        starts, last, totals = array("i", [0]), array("i", [-1]), array("d", [0.0])
-        before, found = "", {}
+        states, totals, last, found = [-1], [0.0], "", {}
         for word in sorted(words):
-            shared = len(commonprefix((before, word)))
-            del starts[shared + 1 :], last[shared + 1 :]
-            if self.mode == "bpe":
-                for end in range(shared + 1, len(word) + 1):
-                    self._bpe(word, end, starts, last)
-            else:
-                del totals[shared + 1 :]
-                for end in range(shared + 1, len(word) + 1):
-                    self._unigram(word, end, starts, last, totals)
-            before, end, ids = word, len(word), array("I")
+            shared = 0
+            for x, y in zip(last, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del states[shared + 1 :], totals[shared + 1 :]
+            self._grow(word, states, totals)
+            last, end, ids = word, len(word), array("I")
             while end:
-                start, i = starts[end], last[end]
+                i = states[end]
                 if i >= 0:
                     ids.append(i)
+                    end -= len(self.piece[i])
                 else:
-                    ids.extend([self.byte[b] for b in reversed(word[start:end].encode())] if self.byte else [self.unknown])
-                end = start
+                    end -= 1
+                    ids.extend([self.byte[b] for b in reversed(word[end].encode())] if self.byte else [self.unknown])
             ids.reverse()
             found[word] = ids.tobytes()
         return found
 
     def words(self, text: str) -> list[str]:
-        """The marked words of a text: a mark for the start and for each space, cut before runs of marks and around line ends."""
+        """The marked words of a text: a mark, shown as a space, for the start and for each space, cut where no piece reaches across.
+
+        Such places are before runs of marks, around line ends, and between letters and punctuation.
+        """
         if not text:
             return []
-        if MARK in text:
-            out = _RUNS.findall(MARK + text.replace(" ", MARK))
+        # A literal mark and a space are the same to the model.
+        text = " " + text.replace(MARK, " ")
+        if "  " in text or text[-1] == " " or _SPLIT in text:
+            marked = _RUNS.findall(text)
         else:
-            out, held = [], ""
-            for part in text.split(" "):
-                if part:
-                    out.append(held + MARK + part)
-                    held = ""
-                else:
-                    held += MARK
-            if held:
-                out.append(held)
-        if self.lines and "\n" in text:
-            out = [x for w in out for x in (_LINES.findall(w) if "\n" in w else (w,))]
+            marked = text.replace(" ", _SPLIT + " ").split(_SPLIT)[1:]
+        out, loose = [], self.loose
+        for w in marked:
+            if w[1:].isalnum():
+                out.append(w)
+            elif w[-1] in loose and w[1:-1].isalnum():
+                out += w[:-1], w[-1]
+            else:
+                for x in _LINES.findall(w) if self.lines and "\n" in w else (w,):
+                    out += (x,) if self.cuts is None else self.cuts.split(x)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. An empty text has none."""
         split = [self.words(t) for t in texts]
-        distinct = set().union(*split)
-        new = self.encode_words([w for w in distinct if w not in self.known])
-        if self.held > REMEMBERED:
-            new |= {w: self.known[w] for w in distinct if w in self.known}
-            self.known, self.held = {}, 0
+        known, before = self.known, self.before
+        fresh = set().union(*split).difference(known)
+        new = {w: before[w] for w in fresh if w in before}
+        new |= self.encode_words([w for w in fresh if w not in new])
         short = {w: ids for w, ids in new.items() if len(w) <= LONGEST_REMEMBERED}
-        self.known |= short
-        self.held += sum(4 * len(w) + len(ids) for w, ids in short.items()) + OVERHEAD * len(short)
-        known = self.known
-        return [b"".join([known.get(w) or new[w] for w in words]) for words in split]
+        known |= short
+        find = known.__getitem__
+        if len(short) < len(new):
+            find = lambda w: known.get(w) or new[w]
+        out = [b"".join(map(find, words)) for words in split]
+        self.held += sum(map(len, short)) * 4 + sum(map(len, short.values())) + OVERHEAD * len(short)
+        if self.held > REMEMBERED:
+            self.known, self.before, self.held = {}, known, 0
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; control ids are left out."""
