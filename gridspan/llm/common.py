@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,29 +34,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder; a lost executor then costs a re-read, not a recomputation.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only where that is unset, as in
-    local tests, a temporary one is made.
-    """
+    """Materialise df in the shared checkpoint folder; a lost executor then costs a re-read, not a recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: the session's checkpoint folder, or a temporary one in local tests."""
+    """The folder that all executors and the driver share: below the one the session names in spark.checkpoint.dir.
+
+    Only on a single machine, as in tests, a temporary one is made where that is unset. It is removed when the application ends.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+        _file_system(spark, sc._jsc.sc().getCheckpointDir().get(), lambda fs, path: fs.deleteOnExit(path))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file_system(spark: SparkSession, folder: str, act: Callable) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    act(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
+
+
 class Scratch:
-    """Compressed tables in the shared folder that are removed when the block ends."""
+    """Compressed tables in the shared folder. Spark knows their sizes, so it broadcasts small ones by itself.
+
+    They are removed when the block ends, or without a block when the application does.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4()}"
         self.tables = 0
+        _file_system(spark, self.folder, lambda fs, path: (fs.mkdirs(path), fs.deleteOnExit(path)))
 
     def __enter__(self) -> Scratch:
         return self
@@ -67,8 +79,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _file_system(self.spark, self.folder, lambda fs, path: fs.delete(path, True))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -42,22 +42,31 @@ BLOCK = 1 << 16
 TILE = 1024
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> bytes:
-    """The 64-bit SimHash of a UTF-8 text, big-endian; null and wordless texts give zero."""
+def word_shingles(text: bytes | None, shingle: int = 3) -> bytes:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included, eight bytes each, big-endian.
+
+    A text of fewer words is one shingle, one without words none.
+    """
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8)
-    if len(words) <= shingle:
-        parts = [words]
-    else:
-        parts = zip(*(words[i:] for i in range(shingle)), strict=False)
+        return b""
+    parts = [words] if len(words) <= shingle else zip(*(words[i:] for i in range(shingle)), strict=False)
     digest, join = xxhash.xxh64_digest, b" ".join
-    bits = np.frombuffer(b"".join([digest(join(p), 42) for p in parts]), np.uint8)
-    total = len(bits) // 8
+    return b"".join([digest(join(p), 42) for p in parts])
+
+
+def majority(hashes: bytes) -> bytes:
+    """The 64-bit SimHash of hashes, big-endian: each bit is 1 if it is in over half of them; of none it is zero."""
+    bits = np.frombuffer(hashes, np.uint8)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(bits), 8 * BLOCK):
         ones += np.unpackbits(bits[i : i + 8 * BLOCK]).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > total).tobytes()
+    return np.packbits(2 * ones > len(bits) // 8).tobytes()
+
+
+def fingerprint(text: bytes | None, shingle: int = 3) -> bytes:
+    """The 64-bit SimHash of a UTF-8 text's word shingles; null and wordless texts give zero."""
+    return majority(word_shingles(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -200,11 +209,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = connected_components(link(named, threshold).union(twice))
     final = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return rows.join(final, "fp").select("id", "fp", "component")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group left: the one with the smallest id. Rows without id are all kept."""
-    groups = simhash_groups(docs, id_col, text_col)
-    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    stay = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return stay.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))

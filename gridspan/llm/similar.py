@@ -1,13 +1,14 @@
-"""Documents of which four fifths or more of the word shingles are the same, found exactly.
+"""Near copies by SimHash, completed to all documents of which four fifths or more of the word shingles are the same.
 
-At a similarity of 0.8 about 10 of 64 SimHash bits differ, too many for a covering code. Candidates come from
-prefixes instead: with all shingles in one order, two sets of Jaccard similarity 0.8 or more share one of the
-first n - ceil(0.8 n) + 1 of each, n being the set's size. Shingles often met in a sample of documents come last in
-that order, which changes how many candidates there are but never which links are found. Every link is
-verified on the whole sets, and no pair of that similarity is missed.
+At a similarity of 0.8 about 10 of 64 SimHash bits differ, too many for a covering code, so fingerprints that link
+at 2 bits only give the first candidates. The others come from prefixes: with all shingles in one order, two sets of
+Jaccard similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 of each, n being the set's size. Shingles
+often met in a sample of documents come last in that order, which changes how many candidates there are but never
+which links are found. Every link, however proposed, is verified on the whole sets, and no pair of that similarity is missed.
 
 Candidates of a shingle are first compared with one pivot each, which joins large groups of near copies
-by few comparisons; only pairs still in different components are then compared among one another.
+by few comparisons; only pairs still in different components are then compared among one another. Parity sketches
+as wide as the sets are large tell nearly all unlike pairs apart without their texts.
 """
 
 from __future__ import annotations
@@ -17,32 +18,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from gridspan.llm.common import Scratch, binary_list, cut, runs, ship, sorted_runs, tiled
+from gridspan.llm import simhash
+from gridspan.llm.common import Scratch, binary_list, runs, ship, sorted_runs, tiled
 from gridspan.llm.components import connected_components
 
 WORDS = 5
 #: Documents sampled for common shingles, the least number of them that makes a shingle common, and the most common shingles kept.
-SAMPLE, COMMON, MOST = 10_000, 4, 1 << 17
+SAMPLE, COMMON, MOST = 20_000, 4, 1 << 18
 #: Nodes of one shingle that are compared in one piece.
 TILE = 1024
 #: Pairs looked at together.
 PAIRS = 1 << 18
-#: 64-bit words of a set's parity sketch.
-SKETCH = 4
+#: Bytes of a set's parity sketch: a bit or more for each shingle, within these bounds.
+LEAST, WIDEST = 32, 512
+
+#: Columns that a row's set of shingles gets: its hash, size, fingerprint, prefix and sketch.
+ADDED = [
+    StructField("_sig", LongType()), StructField("_size", IntegerType()), StructField("_fp", LongType()),
+    StructField("_prefix", ArrayType(LongType())), StructField("_parity", BinaryType()),
+]
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a UTF-8 text's word shingles; a text of fewer words is one shingle, one without words none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    parts = [words] if len(words) <= width else zip(*(words[i:] for i in range(width)), strict=False)
-    digest, join = xxhash.xxh64_digest, b" ".join
-    return np.unique(np.frombuffer(b"".join([digest(join(p), 42) for p in parts]), ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(simhash.word_shingles(text, width), ">u8").astype(np.uint64))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -51,10 +54,37 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
+def sketch(s: np.ndarray) -> bytes:
     """Parities of the numbers of shingles by the lowest bits of their hashes: two sketches differ in no more bits than the sets do in shingles."""
-    odd = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    bits = 8 * min(max(LEAST, 1 << max(len(s) - 1, 0).bit_length() >> 3), WIDEST)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(sketches: list[bytes], size: int = LEAST) -> np.ndarray:
+    """The sketches as rows of 64-bit words, all narrowed to `size` bytes."""
+    out = np.zeros((len(sketches), size // 8), np.uint64)
+    widths = np.array(list(map(len, sketches)), np.int64)
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        x = np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint64).reshape(len(at), int(w) // size, size // 8)
+        out[at] = np.bitwise_xor.reduce(x, axis=1)
+    return out
+
+
+def may_be_alike(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """False only where sets of these sizes, with sketches that differ in so many bits, cannot be alike."""
+    return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & (9 * differ <= size_a + size_b)
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits pairs of sketches differ, the wider narrowed to the other."""
+    out = np.zeros(len(a), np.int64)
+    widths = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w).tolist()
+        out[at] = np.bitwise_count(fold([a[i] for i in at], int(w)) ^ fold([b[i] for i in at], int(w))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -87,20 +117,23 @@ def _sets(place: int, held):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = held.value
         for b in batches:
-            sig, size, first, parity = [], [], [], []
+            sig, size, fp, first, parity = [], [], [], [], []
             for t in binary_list(b.column(place)):
-                s = shingles(t)
+                hashes = simhash.word_shingles(t, WORDS)
+                s = np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
                 sig.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 size.append(len(s))
+                fp.append(simhash.majority(hashes))
                 first.append(prefix(s, common).view(np.int64))
                 parity.append(sketch(s))
             more = [
                 pa.array(np.array(sig, np.uint64).view(np.int64)),
-                pa.array(size, pa.int64()),
+                pa.array(size, pa.int32()),
+                pa.array(np.frombuffer(b"".join(fp), ">i8").astype(np.int64)),
                 pa.array(first, pa.list_(pa.int64())),
-                pa.array(parity, pa.list_(pa.int64())),
+                pa.array(parity, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_sig", "_size", "_prefix", "_parity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *(f.name for f in ADDED)])
 
     return each
 
@@ -118,15 +151,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (src, dst)], ["src", "dst"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(src, dst) whose texts(node, text) are alike."""
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (src, dst, both sizes, both sketches) that may be alike."""
+    for b in batches:
+        a, c = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+        near = may_be_alike(a, c, differing(*(b.column(k).to_pylist() for k in (4, 5))))
+        yield b.select(["src", "dst"]).filter(pa.array(near))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """Those of pairs(src, dst) whose sets are alike: first by their sketches, then by whole texts."""
+    for side in ("src", "dst"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"{side}_n"), F.col("parity").alias(f"{side}_p")), side)
+    pairs = pairs.select("src", "dst", "src_n", "dst_n", "src_p", "dst_p").mapInArrow(_screen, "src long, dst long")
+    pairs = scratch.write(pairs)
+    needed = scratch.write(pairs.select(F.explode(F.array("src", "dst")).alias("_row")).distinct())
+    texts = scratch.write(rows.join(needed, "_row", "left_semi").select(F.col("_row").alias("node"), F.col(text_col).alias("text")))
     a, b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("src", "a"), ("dst", "b")))
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(_verify, "src long, dst long")
-
-
-def may_be_alike(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """False only where sets of these sizes, with sketches that differ in so many bits, cannot be alike."""
-    return (5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)) & (9 * differ <= size_a + size_b)
+    pairs = pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")
+    return scratch.write(pairs.mapInArrow(_verify, "src long, dst long"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +177,17 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, starts in runs(batches, ["token", "tile"]):
         end = np.repeat(starts[1:], np.diff(starts))
         node, component, size = (table[c].to_numpy() for c in ("node", "component", "size"))
-        parity = np.stack([table[f"p{i}"].to_numpy() for i in range(SKETCH)]).view(np.uint64)
+        size, wide = size.astype(np.int64), table["parity"].to_pylist()
+        parity = fold(wide)
         left, step = np.flatnonzero(np.arange(len(end)) + 1 < end), 1
         while len(left):
             for i in range(0, len(left), PAIRS):
                 x = left[i : i + PAIRS]
                 y = x + step
                 x, y = (z[component[x] != component[y]] for z in (x, y))
-                near = may_be_alike(size[x], size[y], np.bitwise_count(parity[:, x] ^ parity[:, y]).sum(axis=0, dtype=np.int64))
+                near = may_be_alike(size[x], size[y], np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64))
+                x, y = x[near], y[near]
+                near = may_be_alike(size[x], size[y], differing([wide[k] for k in x.tolist()], [wide[k] for k in y.tolist()]))
                 if near.any():
                     x, y = node[x[near]], node[y[near]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
@@ -152,39 +198,43 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs's columns with _row, a number for each row, and _component: rows linked by similarities of 0.8 or more share one.
 
-    Texts without words share a component. The rows lie in the session's checkpoint folder.
+    Null texts count as empty; texts without words share a component. Rows, not ids, are compared: equal sets of shingles
+    are one node before any comparison, so copies cost nothing, and rows of one id or without id are like others. Very long texts
+    are compared whole. Columns of docs called like those added are replaced. An empty table gives no rows. The rows lie in the
+    session's checkpoint folder until the application ends.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_row", "_component", *(f.name for f in ADDED))
     ship(spark)
+    scratch = Scratch(spark)
     held = spark.sparkContext.broadcast(common_shingles(docs, text_col, id_col))
-    longs = ArrayType(LongType())
-    added = [StructField("_sig", LongType()), StructField("_size", LongType()), StructField("_prefix", longs), StructField("_parity", longs)]
-    rows = docs.mapInArrow(_sets(docs.columns.index(text_col), held), StructType([*docs.schema.fields, *added]))
-    rows = Scratch(spark).write(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = docs.mapInArrow(_sets(docs.columns.index(text_col), held), StructType([*docs.schema.fields, *ADDED]))
+    rows = scratch.write(rows.withColumn("_row", F.monotonically_increasing_id()))
     # Equal sets are one node, which one row stands for.
-    nodes = cut(rows.groupBy("_sig").agg(F.min("_row").alias("node")))
+    nodes = scratch.write(rows.groupBy("_sig").agg(F.min("_row").alias("node")))
     one = rows.join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
-    texts = one.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
-    node = one.select(F.col("_row").alias("node"), F.col("_size").alias("size"), *(F.col("_parity")[i].alias(f"p{i}") for i in range(SKETCH)))
-    tokens = one.select(F.explode("_prefix").alias("token"), F.col("_row").alias("node"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("token", "pivot")
-    tokens = cut(tokens.join(shared, "token"))
-    pairs = tokens.where("node <> pivot").select(F.col("node").alias("src"), F.col("pivot").alias("dst")).distinct()
-    sides = (node.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in node.columns[1:])) for side in ("src", "dst"))
-    for side, key in zip(sides, ("src", "dst"), strict=True):
-        pairs = pairs.join(side, key)
-    differ = sum((F.bit_count(F.col(f"src_p{i}").bitwiseXOR(F.col(f"dst_p{i}"))) for i in range(SKETCH)), F.lit(0))
-    total = F.col("src_size") + F.col("dst_size")
-    pairs = pairs.where((5 * F.least("src_size", "dst_size") >= 4 * F.greatest("src_size", "dst_size")) & (9 * differ <= total)).select("src", "dst")
-    links = cut(verified(pairs, texts))
-    found = cut(connected_components(links))
+    sets = scratch.write(one.select(F.col("_row").alias("node"), *(F.col(f"_{c}").alias(c) for c in ("size", "fp", "prefix", "parity"))))
+    # Fingerprints within 2 bits, one set standing for each, and the sets of equal fingerprints.
+    prints = scratch.write(sets.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")))
+    same = sets.join(prints.where("n > 1").select("fp", F.col("node").alias("dst")), "fp").where("node <> dst").select(F.col("node").alias("src"), "dst")
+    near = simhash.link(prints.select("node", "fp")).union(same)
+    # Sets that share a shingle of their prefixes, each against the shingle's pivot.
+    by_token = Window.partitionBy("token")
+    item = F.struct("node", "size")
+    tokens = sets.select(F.explode("prefix").alias("token"), "node", "size")
+    tokens = tokens.withColumns({"pivot": F.min(item).over(by_token), "other": F.max("node").over(by_token)})
+    tokens = scratch.write(tokens.where("pivot.node <> other").drop("other"))
+    fits = 5 * F.least("size", "pivot.size") >= 4 * F.greatest("size", "pivot.size")
+    pivots = tokens.where("node <> pivot.node").where(fits).select(F.col("node").alias("src"), F.col("pivot.node").alias("dst"))
+    pairs = near.union(pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    links = linked(pairs, sets, rows, text_col, scratch)
+    found = scratch.write(connected_components(links))
     rest = tokens.select("token", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rest.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    rest = rest.join(apart, "token").join(node, "node")
-    dealt = sorted_runs(tiled(rest, "token", "node", TILE), ["token", "tile"])
-    order = ["token", "tile", "node", "component", "size", *(f"p{i}" for i in range(SKETCH))]
-    more = dealt.select(*order).mapInArrow(_candidates, "src long, dst long").distinct()
-    found = connected_components(links.union(cut(verified(more, texts))))
+    rest = rest.withColumns({"least": F.min("component").over(by_token), "most": F.max("component").over(by_token)})
+    rest = scratch.write(rest.where("least <> most").select("token", "node", "component"))
+    dealt = sorted_runs(tiled(rest, "token", "node", TILE).join(sets.select("node", "size", "parity"), "node"), ["token", "tile"])
+    more = dealt.select("token", "tile", "node", "component", "size", "parity").mapInArrow(_candidates, "src long, dst long").distinct()
+    found = scratch.write(connected_components(links.union(linked(more, sets, rows, text_col, scratch))))
     groups = nodes.join(found, "node", "left").select("_sig", F.coalesce("component", "node").alias("_component"))
     return rows.join(groups, "_sig").select(*docs.columns, "_row", "_component")
 
