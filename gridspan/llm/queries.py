@@ -78,8 +78,9 @@ def op9_lattice_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, bad): labelled documents of poor quality or abusive ones."""
-    return read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    """(doc_id, bad, abusive): labelled documents, those of poor quality or abusive ones being bad."""
+    toxic = F.col("toxic") == 1
+    return read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | toxic).alias("bad"), toxic.alias("abusive"))
 
 
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

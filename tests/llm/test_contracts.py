@@ -474,7 +474,51 @@ def test_quality_labellers():
         names[votes] = names.get(votes, 0) + 1
     post, table, share = quality.fit_labellers(names)
     assert abs(1 - share[0] - 0.3) < 0.1 and table[0, 0] <= 0.03
-    assert post["RRR"] > 0.99 and post["RKK"] > 0.5 and post["KKK"] < 0.05
+    assert post["RRR"] > 0.99 and post["KKK"] < 0.05 and post["K--"] < post["---"] < post["R--"]  # keep votes count, abstentions do not
+
+
+def test_quality_em_by_rows():
+    """The fit on counts of patterns against the same steps written out row by row."""
+    rng = random.Random(3)
+    rows = ["".join(rng.choice("RKK-") for _ in range(3)) if rng.random() < 0.5 else "KKK" for _ in range(200)]
+    post, table, shares = quality.fit_labellers(Counter(rows), rounds=25)
+    classes, labellers = range(4), range(3)
+    start = [[0.9 if k == i + 1 else 0.015 for k in classes] for i in labellers]
+    t, share = [list(x) for x in start], [0.8, *[0.2 / 3] * 3]
+    for _ in range(25):
+        belief = []
+        for r in rows:
+            p = [share[k] * math.prod(t[i][k] if r[i] == "R" else 1 - t[i][k] if r[i] == "K" else 1.0 for i in labellers) for k in classes]
+            belief.append([x / sum(p) for x in p])
+        for i in labellers:
+            for k in classes:
+                said = sum(b[k] for r, b in zip(rows, belief, strict=True) if r[i] == "R")
+                any_ = sum(b[k] for r, b in zip(rows, belief, strict=True) if r[i] != "-")
+                x = (said + start[i][k]) / (any_ + 1)
+                x = min(x, 0.02) if k == 0 else max(x, 0.6) if k == i + 1 else x
+                t[i][k] = min(max(x, 1e-4), 1 - 1e-4)
+        share = [sum(b[k] for b in belief) + 0.1 for k in classes]
+        share = [x / sum(share) for x in share]
+    assert np.allclose(table, t, atol=1e-12) and np.allclose(shares, share, atol=1e-12)
+    assert all(math.isclose(post[r], 1 - b[0], abs_tol=1e-12) for r, b in zip(rows, belief, strict=True))
+
+
+def test_quality_of_long_texts(monkeypatch):
+    """Parts of a long text add up to the whole, but for repetitions over a cut."""
+    rng = random.Random(5)
+    text = b"".join(b"".join(rng.choice([b"ab", b"Cd", b"\xc3\xa9", b"9"]) for _ in range(rng.randint(1, 4))) + rng.choice([b" ", b" ", b" ", b"\n"]) for _ in range(9000))
+    texts = [b"short one", None, text, text + b" more", b"x" * 9000, b""]
+    whole = quality.Looked(texts)
+    monkeypatch.setattr(quality, "CHUNK", 4096)
+    parts = quality.Looked(texts)
+    for name in ("bytes", "symbols", "upper", "letters"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    keep = [0, 1, 2, 3, 5]  # a word longer than a part is taken in pieces
+    assert (whole.words[keep] == parts.words[keep]).all() and parts.words[4] == 3
+    for i in keep:
+        a, b = ({(p, round(v, 9)) for r, p, v in zip(x.row, x.place, x.value, strict=True) if r == i} for x in (whole, parts))
+        assert a == b
+    assert abs(whole.same - parts.same).max() <= 10 and abs(whole.distinct - parts.distinct).max() <= 20
 
 
 def test_quality(spark, docs, empty):
@@ -483,13 +527,23 @@ def test_quality(spark, docs, empty):
     good = [" ".join(word() for _ in range(100)).capitalize() + "." for _ in range(300)]
     other = [" ".join(word() for _ in range(100)) for _ in range(80)]
     bad = [" ".join(w + rng.choice(["###", "$$$", "***"]) for w in g.split()) for g in other[:30]] + [g.upper() for g in other[30:60]]
-    bad += [g.replace(" the", " the idiot moron", 2) + " you stupid scum" for g in other[60:]] + ["spam spam " * 50] * 5
-    table = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(good + bad)] + [(None, None, 0), (9999, "", 1)], "doc_id long, text string, score int")
+    bad += ["spam spam " * 50] * 5
+    abuse = [" ".join([*(word() for _ in range(90)), *(f"zorg{word()}" for _ in range(4))]).capitalize() + "." for _ in range(60)]
+    table = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(good + bad + abuse)] + [(None, None, 0), (9999, "", 1)], "doc_id long, text string, score int")
+    first = len(good) + len(bad)
+    labels = [(i, i >= 300, i >= first) for i in range(first + 60) if i % 2] + [(77777, True, True), (None, True, False), (first + 1, None, None), (1, None, True)]
+    labels = spark.createDataFrame(labels, "doc_id long, bad boolean, abusive boolean")
+    judged = {r.doc_id: r for r in quality.classify(table, labels).collect()}
+    assert sum(not judged[i].keep for i in range(first, first + 60, 2)) >= 27 and sum(judged[i].keep for i in range(300)) >= 294
+    assert sum(judged[i].votes[6] == "R" for i in range(first, first + 60)) >= 55
+    assert [r.keep for r in quality.classify(table, labels).orderBy("doc_id").collect()] == [r.keep for r in quality.classify(table.repartition(5), labels).orderBy("doc_id").collect()]
     got = quality.classify(table).collect()
+    assert all(r.votes[6:] == "--" for r in got)
     keep = {r.doc_id: r.keep for r in got}
-    assert len(got) == len(good) + len(bad) + 2
+    assert len(got) == len(good) + len(bad) + len(abuse) + 2
     assert sum(keep[i] for i in range(len(good))) >= 0.98 * len(good)
     assert sum(not keep[i] for i in range(len(good), len(good) + len(bad))) >= 0.95 * len(bad)
+    assert quality.classify(docs, labels.limit(0)).count() == len(rows())
     assert quality.classify(docs).count() == len(rows())
     assert quality.classify(empty).count() == 0
 
