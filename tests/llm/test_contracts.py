@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridspan.llm import ctw, iblt, lattice, packing, pieces, quality, quotes, secrets, sharding, simhash, similar
@@ -323,8 +324,6 @@ def test_hilbert_neighbours_touch():
 
 
 def test_context_tree(spark, docs, empty):
-    import pyspark.sql.functions as F
-
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     got = ctw.score(docs, number % 7 != 2, head=50).collect()
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -337,48 +336,70 @@ def test_context_tree(spark, docs, empty):
     assert ctw.score(empty, F.lit(True)).count() == 0
 
 
-def test_context_tree_by_hand(spark):
-    """Against a direct recursion over the tree, and bytes' probabilities that add up to one."""
-    texts_ = [b"abracadabra", b"abra cad", b""]
-    model = ctw.train(spark.createDataFrame([(t.decode(),) for t in texts_], "text string"), depth=2, slots=1 << 16)
+def brute_context_tree(texts_, depth):
+    """log10 probability of the byte s after a context, by the definition: a recursion over the tree of all counts."""
     counts = Counter()
     for t in texts_:
-        x = b"\xff\xff" + t + b"\xff"
-        for i in range(2, len(x)):
+        x = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(x)):
             for j in range(8):
-                for d in range(3):
+                for d in range(depth + 1):
                     counts[x[i - d : i], (1 << j) | x[i] >> (8 - j), x[i] >> (7 - j) & 1] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    children, memory = {}, {}
+    for ctx, node, _ in list(counts):
+        if ctx:
+            children.setdefault((ctx[1:], node), set()).add(ctx)
 
     def weighted(ctx, node):
-        own = kt(counts[ctx, node, 0], counts[ctx, node, 1])
-        if len(ctx) == 2:
-            return own
-        below = sum(weighted(bytes([b]) + ctx, node) for b in range(256) if counts[bytes([b]) + ctx, node, 0] + counts[bytes([b]) + ctx, node, 1])
-        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(below))
+        if (ctx, node) not in memory:
+            own = kt(counts[ctx, node, 0], counts[ctx, node, 1])
+            if len(ctx) < depth:
+                below = sum(weighted(c, node) for c in children.get((ctx, node), ()))
+                own = math.log(0.5) + max(own, below) + math.log1p(math.exp(-abs(own - below)))
+            memory[ctx, node] = own
+        return memory[ctx, node]
 
     def one(full, node):
-        p = 0.5
-        for d in (2, 1, 0):
-            ctx = full[2 - d :]
+        p = 0.0
+        for d in range(depth, -1, -1):
+            ctx = full[depth - d :]
             a, b = counts[ctx, node, 0], counts[ctx, node, 1]
-            if a + b:
-                w = 1.0 if d == 2 or p is None else 0.5 * math.exp(kt(a, b) - weighted(ctx, node))
-                seen = d < 2 and any(counts[bytes([x]) + ctx, node, k] for k in (0, 1) for x in full[1 - d : 2 - d])
-                p = w * (b + 0.5) / (a + b + 1) + (1 - w) * p if seen else (b + 0.5) / (a + b + 1)
+            share = 1.0 if d == depth else math.exp(math.log(0.5) + kt(a, b) - weighted(ctx, node))
+            p = share * (b + 0.5) / (a + b + 1) + (1 - share) * p
         return p
 
-    for full in (b"ab", b"\xff\xff", b"zz", b"ca"):
-        probs = []
-        for s in range(256):
-            total = 1.0
-            for j in range(8):
-                p = one(full, (1 << j) | s >> (8 - j))
-                total *= p if s >> (7 - j) & 1 else 1 - p
-            probs.append(total)
-        key = np.array([(full[1] << 16) | (full[0] << 8) | s for s in range(256)], np.uint64)
-        assert np.allclose(10 ** model.byte_scores(key), probs, rtol=1e-4)
-        assert math.isclose(sum(probs), 1, rel_tol=1e-9)
+    def byte(full, s):
+        total = 0.0
+        for j in range(8):
+            p = one(full, (1 << j) | s >> (8 - j))
+            total += math.log10(p if s >> (7 - j) & 1 else 1 - p)
+        return total
+
+    return byte
+
+
+@pytest.mark.parametrize(("depth", "split", "most"), [(3, 2, 40), (2, 3, 1 << 20), (5, 3, 0), (1, 3, 10)])
+def test_context_tree_by_hand(spark, depth, split, most):
+    """Every row's score against a recursion over the whole tree; bytes' probabilities add up to one."""
+    some = [(i, r[1], i % 4 != 1) for i, r in enumerate(rows()[:18])] + [(90, "abra cad abra", None), (91, "zz unseen Ω", False)]
+    df = spark.createDataFrame(some, "doc_id long, text string, train boolean").repartition(3)
+    flat = lambda t: b" ".join("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split())
+    byte = brute_context_tree([flat(t) for _, t, train in some if train], depth)
+    got = {r.id: r.score for r in ctw.score(df, F.col("train"), depth=depth, split=split, most=most).collect()}
+    for i, t, _ in some:
+        x = b"\xff" * depth + flat(t) + b"\xff"
+        assert math.isclose(got[i], sum(byte(x[k - depth : k], x[k]) for k in range(depth, len(x))), rel_tol=1e-9)
+    for full in (b"ab cd"[:depth], b"\xff" * depth, b"zzzzz"[:depth]):
+        assert math.isclose(sum(10 ** byte(full, s) for s in range(256)), 1, rel_tol=1e-9)
+
+
+def test_context_tree_gamma(empty):
+    with pytest.raises(ValueError, match="depth"):
+        ctw.score(empty, F.lit(True), depth=7)
+    n = np.array([0, 1, 2, 50, 4094, 4095, 4096, 10**6, 10**9], float)
+    assert np.allclose(ctw._log_gamma(n, False), [math.lgamma(x + 1) for x in n], rtol=1e-12)
+    assert np.allclose(ctw._log_gamma(n, True), [math.lgamma(x + 0.5) for x in n], rtol=1e-12)
 
 
 def test_pieces_match_library(spark, docs, empty):
