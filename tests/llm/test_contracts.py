@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridspan.llm import ctw, iblt, lattice, packing, pieces, quality, quotes, secrets, sharding, simhash, similar
+from gridspan.llm.common import shared_folder
 from gridspan.llm.components import connected_components
 from gridspan.llm.queries import packed_digests
 
@@ -230,58 +231,96 @@ def test_shards(spark, docs, empty):
         assert where.setdefault((r.size, r.text_crc32), r.shard) == r.shard
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert sharding.assign_shards(empty).count() == 0
+    hashed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63) - (1 << 63)
+    texts_ = {}
+    for r in rows():
+        texts_[hashed(r[1])] = texts_.get(hashed(r[1]), 0) + size(r[1])
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) == brute_minimax([texts_[h] for h in sorted(texts_)], 7)
+    order = sorted((hashed(x[1]), next(r.shard for r in got if (r.id, r.size) == (x[0], size(x[1])))) for x in rows() if x[0] is not None)
+    assert [s for _, s in order] == sorted(s for _, s in order)  # contiguous
+
+
+def shard_loads(spark, sizes, hashes, monkeypatch, bits):
+    monkeypatch.setattr(sharding, "CELL_BITS", bits)
+    groups = spark.createDataFrame(list(zip(hashes, sizes, strict=True)), "hash long, size long").checkpoint(eager=True)
+    starts = sharding.shard_starts(groups, 40)
+    edges = [0, *(hashes.index(s) if s in hashes else next(i for i, h in enumerate(hashes) if h >= s) for s in starts), len(sizes)]
+    return [sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+@pytest.mark.parametrize("bits", [2, 8, 14])
+def test_shards_are_minimax_over_texts(spark, monkeypatch, bits):
+    """The search over ranges of hashes finds what a search over all single texts does, however few ranges it begins with."""
+    shared_folder(spark)
     rng = random.Random(2)
     sizes = [rng.randint(1, 1000) for _ in range(3000)] + [4000]
-    starts = sharding.shard_starts(spark.createDataFrame(list(enumerate(sizes)), "cell long, size long"), 40)
-    edges = [0, *starts, len(sizes)]
-    assert len(edges) <= 41 and max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)) == brute_minimax(sizes, 40)
+    hashes = sorted(rng.getrandbits(64) - (1 << 63) for _ in sizes)
+    assert max(shard_loads(spark, sizes, hashes, monkeypatch, bits)) == brute_minimax(sizes, 40)
 
 
 @pytest.mark.parametrize("at", [0, 1700, 2999])
-def test_shards_with_a_large_group(spark, at):
-    """A cell of a third of all bytes leaves no shard empty, and the other shards near equal."""
+def test_shards_with_a_large_group(spark, monkeypatch, at):
+    """A text of a third of all bytes leaves no shard empty, and the other shards near equal."""
+    shared_folder(spark)
     rng = random.Random(6)
     sizes = [rng.randint(100, 300) for _ in range(3000)]
     sizes[at] = sum(sizes) // 2
-    starts = sharding.shard_starts(spark.createDataFrame(list(enumerate(sizes)), "cell long, size long"), 40)
-    edges = [0, *starts, len(sizes)]
-    loads = [sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    hashes = sorted(rng.getrandbits(64) - (1 << 63) for _ in sizes)
+    loads = shard_loads(spark, sizes, hashes, monkeypatch, 14)
     rest = sorted(loads)[:-1]
     assert len(loads) == 40 and max(loads) == brute_minimax(sizes, 40) and rest[-1] < 1.2 * rest[0]
-    few = sharding.shard_starts(spark.createDataFrame([(i, 16 + i) for i in range(50)], "cell long, size long"), 40)
-    assert len(few) == 39
+    assert len(shard_loads(spark, [16 + i for i in range(50)], list(range(50)), monkeypatch, 14)) == 40
 
 
-def test_editions(spark, docs, empty):
-    got = iblt.compare_editions(docs, range_rows=5).collect()
-    order = sorted(((r[0], r[1] or "") for r in rows()), key=lambda x: (x[0] is None, -(x[0] or 0)))
-    ids = [i for i, _ in order]
-    assert Counter(r.id for r in got) == Counter(ids)
+def like(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("range_rows", [2, 5, 1000])
+def test_editions(spark, empty, range_rows):
+    """Every row against plain Python, with an id and a lack of one that hold many ranges' rows each."""
+    many = [(i, t) for i, t, *_ in rows()] + [(None, f"none {k}. And\nmore {k % 5}.") for k in range(40)] + [(77, f"same {k}. Or\nnot {k % 3}.") for k in range(40)]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(3)
+    got = iblt.compare_editions(df, range_rows=range_rows).collect()
+    hashed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)
+    order = sorted(((i, t or "") for i, t in many), key=lambda x: (x[0] is None, -(x[0] or 0), hashed(x[1])))
+    want = Counter()
     for k, (i, text) in enumerate(order):
-        if ids.count(i) > 1 or ids.count(ids[(k + 1) % len(ids)]) > 1:
-            continue
         after = order[(k + 1) % len(order)][1]
         n = len(text) // 3
         edited = text[: len(text) - n] + after[:n]
-        r = next(r for r in got if r.id == i)
         a, b, c = (set(iblt.digests(t.encode()).tolist()) for t in (text, edited, after))
-        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert math.isclose(r.near_edited, like(a, b)) and math.isclose(r.near_next, like(a, c))
-    prints = {}
-    for r in got:
-        prints.setdefault(r.id, set()).add(r.fingerprint)
-    assert all(len(p) == 1 for i, p in prints.items() if i is not None)
+        prints = [iblt.sketch_texts([iblt.digests(t.encode())])[0] for t in (text, edited)]
+        want[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints, round(like(a, b), 9), round(like(a, c), 9)] += 1
+    assert Counter((r.id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     assert iblt.compare_editions(empty).count() == 0
 
 
-def test_lookup_sketch_recovers():
+def test_passages_are_digested():
+    text = "One two. Three\n" + "w " * 20 + "\r\nOne two."
+    parts = ["One two.", "Three", " ".join("w" * 16), " ".join("w" * 4), "One two."]
+    want = {xxhash.xxh64_intdigest(p.encode(), parts[:k].count(p)) for k, p in enumerate(parts)}
+    assert set(iblt.digests(text.encode()).tolist()) == want and len(iblt.digests(b"")) == 0
+
+
+def test_fingerprints_subtract():
+    """Two strings alone tell the digests in which the texts differ, or that they are too many for them."""
     rng = np.random.default_rng(5)
-    first = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (0, 3, 100, 5000)]
-    second = [np.concatenate([a[: len(a) // 2], rng.integers(0, 2**63, 7).astype(np.uint64)]) for a in first]
-    for i, a, b in iblt.differences(first, second):
-        assert set(a.tolist()) == set(first[i].tolist()) - set(second[i].tolist())
-        assert set(b.tolist()) == set(second[i].tolist()) - set(first[i].tolist())
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    first = [draw(n) for n in (0, 3, 100, 5000, 0)]
+    second = [np.concatenate([a[: max(len(a) - 5, 0)], draw(4)]) for a in first[:4]] + [draw(500)]
+    prints = [iblt.sketch_texts(side) for side in (first, second)]
+    key, owner, sign, stuck = iblt.subtracted(*prints)
+    assert stuck.tolist() == [False] * 4 + [True]
+    for i in range(4):
+        a, b = set(first[i].tolist()), set(second[i].tolist())
+        assert set(key[(owner == i) & (sign > 0)].tolist()) == a - b and set(key[(owner == i) & (sign < 0)].tolist()) == b - a
+    only_a, only_b = iblt.differences(*prints, first, second)  # the last one by larger sketches
+    assert only_a.tolist() == [len(set(a.tolist()) - set(b.tolist())) for a, b in zip(first, second, strict=True)]
+    assert only_b.tolist() == [len(set(b.tolist()) - set(a.tolist())) for a, b in zip(first, second, strict=True)]
 
 
 def test_packing(spark, docs, empty):
