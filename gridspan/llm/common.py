@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
@@ -82,6 +84,30 @@ class Scratch:
         _file_system(self.spark, self.folder, lambda fs, path: fs.delete(path, True))
 
 
+def at_most(rows: DataFrame, most: int, *keys: Column | str) -> DataFrame:
+    """Those of rows whose hash of keys falls into buckets that together hold at most `most` rows: the same rows in every run."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("int")
+    counts = {r["b"]: r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()}
+    kept, left = [], most
+    for b in sorted(counts):
+        if counts[b] <= left:
+            kept.append(b)
+            left -= counts[b]
+    return rows if len(kept) == len(counts) else rows.where(bucket.isin(kept))
+
+
+def tidy(each: Callable) -> Callable:
+    """A function for mapInArrow that in the end gives freed memory back to the system, as its worker lives on beside others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

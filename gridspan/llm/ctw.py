@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import Scratch, binary_list, in_groups, runs, ship
+from gridspan.llm.common import Scratch, binary_list, in_groups, runs, ship, tidy
 
 #: Bytes of the longest context; seven bytes, it and the one that follows, are the most that a pair's number holds.
 DEPTH = 5
@@ -245,7 +245,7 @@ def pair_scores(pairs: DataFrame, scratch: Scratch, depth: int = DEPTH, split: i
     split = min(split, depth)
     stem = F.expr(f"shiftright(key, {8 * (depth + 1 - split)})")
     dealt = pairs.withColumn("stem", stem).repartition("stem").groupBy("stem", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    built = scratch.write(dealt.sortWithinPartitions("stem", "key").mapInArrow(_build(depth, split), _DEALT))
+    built = scratch.write(dealt.sortWithinPartitions("stem", "key").mapInArrow(tidy(_build(depth, split)), _DEALT))
     # From the stems to the empty context, then back again with what each context adds and the weight it leaves to longer ones.
     tops = [built.where("kind = 0").select(F.col("key").alias("node_key"), F.col("n").alias("zeros"), F.col("m").alias("ones"), F.col("x").alias("both"))]
     level = tops[0]
@@ -253,7 +253,7 @@ def pair_scores(pairs: DataFrame, scratch: Scratch, depth: int = DEPTH, split: i
     for _ in range(split):
         up = F.expr("shiftleft(shiftright(node_key, 16), 8) | (node_key & 255)")
         level = level.groupBy(up.alias("node_key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("both").alias("below"))
-        level = scratch.write(level.mapInArrow(_weigh, kind))
+        level = scratch.write(level.mapInArrow(tidy(_weigh), kind))
         tops.append(level)
     p = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
     said = None
@@ -272,7 +272,7 @@ def pair_scores(pairs: DataFrame, scratch: Scratch, depth: int = DEPTH, split: i
     none = F.lit(0).cast("long")
     said = said.select(F.expr("shiftright(node_key, 8)").alias("stem"), F.lit(0).alias("kind"), F.col("node_key").alias("key"), none.alias("n"), none.alias("m"), "x", "y")
     rows = said.union(built.where("kind = 1")).repartition("stem").sortWithinPartitions("stem", "kind", "key")
-    return scratch.write(rows.mapInArrow(_finish(depth, split), "key long, m long, score double"))
+    return scratch.write(rows.mapInArrow(tidy(_finish(depth, split)), "key long, m long, score double"))
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def commonest(counts: DataFrame, count: str, most: int) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the words of texts(text), the end not included."""
     ship(texts.sparkSession)
-    return texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(_count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def score(
@@ -344,7 +344,7 @@ def score(
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
     chosen = rows.where("train")
-    pairs = rows.select("text", "train").mapInArrow(_count_pairs(depth), "key long, n long, m long")
+    pairs = rows.select("text", "train").mapInArrow(tidy(_count_pairs(depth)), "key long, n long, m long")
     scores = pair_scores(pairs, scratch, depth, split)
     table = commonest(scores, "m", most).select("key", "score").toArrow()
     model = spark.sparkContext.broadcast(Commonest(table["key"].to_numpy(), table["score"].to_numpy()))
@@ -397,7 +397,7 @@ def score(
                 at += n
 
     kinds = "id long, train boolean, n_tokens long, hits long, base double, bytes long, tail array<binary>, often array<long>, score double, rare array<long>, times array<long>"
-    scored = scratch.write(rows.mapInArrow(each, kinds).withColumn("row", F.monotonically_increasing_id()))
+    scored = scratch.write(rows.mapInArrow(tidy(each), kinds).withColumn("row", F.monotonically_increasing_id()))
     words = scored.select("row", F.explode(F.arrays_zip("tail", "often")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.often").alias("k"))
     words = words.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - norm)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("seen")

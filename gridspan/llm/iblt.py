@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import ship
+from gridspan.llm.common import ship, tidy
 
 PARTS = 3
 #: Cells in each part of the sketch that is returned as a fingerprint.
@@ -243,7 +243,7 @@ def compare_editions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_range(edges, b)), *b.columns], ["range", "minus", "h"])
 
-    first = keys.mapInArrow(dealt, "range long, minus long, h long").groupBy("range").agg(F.min(F.struct("minus", "h")).alias("first")).collect()
+    first = keys.mapInArrow(tidy(dealt), "range long, minus long, h long").groupBy("range").agg(F.min(F.struct("minus", "h")).alias("first")).collect()
     first = sorted((r["range"], r["first"]["minus"], r["first"]["h"]) for r in first)
     host = {(m, h): first[i - 1][0] for i, (_, m, h) in enumerate(first)}  # the first range's rows go to the last one
 
@@ -258,11 +258,11 @@ def compare_editions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 more = b.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array([host[int(x[i]), int(h[i])] for i in at], pa.int64()), pa.array(np.ones(len(at), bool)), *more.columns], names)
 
-    keyed = rows.mapInArrow(place, "range long, guest boolean, minus long, h long, id long, text string")
+    keyed = rows.mapInArrow(tidy(place), "range long, guest boolean, minus long, h long, id long, text string")
     parts = max(total // PARTITION_ROWS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = keyed.repartition(min(parts, MOST_RANGES), "range").sortWithinPartitions("range", "guest", "minus", "h")
     kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return keyed.select("range", "id", "text", "guest").mapInArrow(_pair_up, kinds)
+    return keyed.select("range", "id", "text", "guest").mapInArrow(tidy(_pair_up), kinds)
 
 
 #: Place of rows without id.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import cut, forest, runs, ship, sorted_runs, tiled
+from gridspan.llm.common import cut, forest, runs, ship, sorted_runs, tidy, tiled
 from gridspan.llm.components import connected_components
 
 TABLES = 8
@@ -165,10 +165,10 @@ def embedding_groups(
     nodes = rows.where("fine").groupBy("embedding").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     vectors = nodes.select("node", "embedding")
-    sent = vectors.mapInArrow(_hash(tables, probes, cell), "cell long, node long, home boolean")
+    sent = vectors.mapInArrow(tidy(_hash(tables, probes, cell)), "cell long, node long, home boolean")
     shared = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any")
     met = tiled(sent.join(shared.select("cell"), "cell", "left_semi"), "cell", "node", TILE)
-    links = sorted_runs(met.join(vectors, "node"), ["cell", "tile"]).mapInArrow(_near(least), "src long, dst long")
+    links = sorted_runs(met.join(vectors, "node"), ["cell", "tile"]).mapInArrow(tidy(_near(least)), "src long, dst long")
     groups = cut(connected_components(links).join(nodes, "node"))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min("least_id").alias("first"))
     tiles = F.ceil(F.col("m") / TILE).cast("long")
@@ -176,7 +176,7 @@ def embedding_groups(
     members = members.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
     members = members.withColumn("tile", F.least("chunk", "x") * (1 << 31) + F.greatest("chunk", "x"))
     members = members.select("component", "tile", "chunk", "node", "copies", "embedding")
-    found = sorted_runs(members, ["component", "tile"]).mapInArrow(_count(least), "node long, found long")
+    found = sorted_runs(members, ["component", "tile"]).mapInArrow(tidy(_count(least)), "node long, found long")
     found = found.groupBy("node").agg(F.sum("found").alias("found"))
     linked = groups.select("node", "component").join(sizes.select("component", "first"), "component").join(found, "node")
     per = nodes.join(linked.select("node", "first", "found"), "node", "left")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import binary_list, ship
+from gridspan.llm.common import binary_list, ship, tidy
 
 DIMENSIONS, BITS = 4, 8
 LENGTH = 4096
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     share = min(1.0, min(SAMPLE, 20 * ranges) / max(total, 1))
     some = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
     # Only the sizes of the ranges depend on this sample.
-    places = np.sort(some.mapInArrow(keyed, kinds).select("place").toArrow()["place"].to_numpy())
+    places = np.sort(some.mapInArrow(tidy(keyed), kinds).select("place").toArrow()["place"].to_numpy())
     bounds = np.unique(places[np.arange(1, ranges) * len(places) // ranges]).tolist() if len(places) else []
-    rows = rows.mapInArrow(keyed, kinds).repartition("part").sortWithinPartitions("part", "place", "tie").select("id", "text")
-    return rows.mapInArrow(_pack(tokenizer_path, length, end), "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    rows = rows.mapInArrow(tidy(keyed), kinds).repartition("part").sortWithinPartitions("part", "place", "tie").select("id", "text")
+    return rows.mapInArrow(tidy(_pack(tokenizer_path, length, end)), "id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gridspan.llm.common import binary_list, in_groups, ship
+from gridspan.llm.common import binary_list, in_groups, ship, tidy
 
 MARK = "▁"
 _LINES = re.compile(r"\n+|[^\n]+")
@@ -241,7 +241,7 @@ def encode(
 
     ship(docs.sparkSession)
     kinds = "id long, text string, ids binary" + (", decoded string" if decoded else "")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, kinds)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(each), kinds)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", mode: str = "bpe") -> DataFrame:
@@ -256,4 +256,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", mode: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     ship(encoded.sparkSession)
-    return rest.mapInArrow(each, StructType([*rest.schema.fields, StructField("decoded", StringType())]))
+    return rest.mapInArrow(tidy(each), StructType([*rest.schema.fields, StructField("decoded", StringType())]))

@@ -19,11 +19,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from gridspan.llm.common import binary_list, in_groups, ship
+from gridspan.llm.common import at_most, binary_list, in_groups, ship, tidy
 
 REJECT, KEEP, ABSTAIN = "R", "K", "-"
 #: Tests of the labellers, in the order of their votes.
@@ -393,25 +393,13 @@ def learn(texts: list[bytes], bad: list[bool], abusive: list[bool]) -> tuple | N
     return lexicon, cut, model, _cut(np.concatenate(scores or [np.zeros(0)]), 0.1)
 
 
-def at_most(rows: DataFrame, most: int, *keys: Column | str) -> DataFrame:
-    """Those of rows whose hash of keys falls into buckets that together hold at most `most` rows: the same rows in every run."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("int")
-    counts = {r["b"]: r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()}
-    kept, left = [], most
-    for b in sorted(counts):
-        if counts[b] <= left:
-            kept.append(b)
-            left -= counts[b]
-    return rows if len(kept) == len(counts) else rows.where(bucket.isin(kept))
-
-
 def _in_one_task(rows: DataFrame, order: list[str], work) -> bytes:
     """work(batches) on a bounded number of rows in one task, whose only result is its bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(batches))], pa.binary())], ["made"])
 
-    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(each, "made binary").first()
+    found = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(tidy(each), "made binary").first()
     return pickle.dumps(work(iter([]))) if found is None else found.made  # no rows, no task
 
 
@@ -450,7 +438,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([pa.array(vote_text(judge(group)[0]), pa.string())], ["votes"])
 
     texts = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counted = texts.select("text").mapInArrow(voted, "votes string").groupBy("votes").count().collect()
+    counted = texts.select("text").mapInArrow(tidy(voted), "votes string").groupBy("votes").count().collect()
     patterns = {r["votes"]: r["count"] for r in counted}
     posterior, _, _ = fit_labellers(patterns)
     few = texts if sum(patterns.values()) <= sample else at_most(texts, sample, "id", "text")
@@ -497,4 +485,4 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *new])
 
     kinds = (StringType(), DoubleType(), DoubleType(), BooleanType())
-    return kept.mapInArrow(each, StructType([*kept.schema.fields, *map(StructField, new, kinds)]))
+    return kept.mapInArrow(tidy(each), StructType([*kept.schema.fields, *map(StructField, new, kinds)]))

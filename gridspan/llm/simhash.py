@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspan.llm.common import binary_list, cut, forest, ragged, runs, ship, sorted_runs, tiled
+from gridspan.llm.common import binary_list, cut, forest, ragged, runs, ship, sorted_runs, tidy, tiled
 from gridspan.llm.components import connected_components
 
 #: Generator polynomial of the binary Golay code of length 23.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], ["id", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(each), "id long, fp long")
 
 
 @cache
@@ -188,9 +188,9 @@ def link(nodes: DataFrame, threshold: int = 2, crowded: int = CROWDED) -> DataFr
         raise ValueError("the covering layouts are made for a threshold of 2 bits")
     layout = WHOLE if nodes.count() > crowded else HALVES
     ship(nodes.sparkSession)
-    sent = nodes.select("node", "fp").mapInArrow(_replicate(layout), "anchor long, node long, fp long, home boolean")
+    sent = nodes.select("node", "fp").mapInArrow(tidy(_replicate(layout)), "anchor long, node long, fp long, home boolean")
     dealt = sorted_runs(tiled(sent, "anchor", "node", TILE), ["anchor", "tile"])
-    return dealt.mapInArrow(_compare(threshold), "src long, dst long")
+    return dealt.mapInArrow(tidy(_compare(threshold)), "src long, dst long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:

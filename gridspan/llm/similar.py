@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from gridspan.llm import simhash
-from gridspan.llm.common import Scratch, binary_list, runs, ship, sorted_runs, tiled
+from gridspan.llm.common import Scratch, at_most, binary_list, runs, ship, sorted_runs, tidy, tiled
 from gridspan.llm.components import connected_components
 
 WORDS = 5
@@ -104,11 +104,9 @@ def common_shingles(docs: DataFrame, text_col: str, id_col: str) -> np.ndarray:
             for t in binary_list(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["token"])
 
-    total = max(docs.count(), 1)
-    few = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    if total > SAMPLE:
-        few = few.where(F.pmod("h", F.lit(1 << 40)) < int(0.9 * SAMPLE / total * (1 << 40))).limit(SAMPLE)
-    counts = few.select("text").mapInArrow(each, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    few = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    few = at_most(few, SAMPLE, "id", "text")
+    counts = few.select("text").mapInArrow(tidy(each), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     found = counts.orderBy(F.desc("n"), "token").limit(MOST).select("token").toArrow()["token"].to_numpy()
     return np.sort(found.view(np.uint64))
 
@@ -163,13 +161,13 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, text_col: str, sc
     """Those of pairs(src, dst) whose sets are alike: first by their sketches, then by whole texts."""
     for side in ("src", "dst"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("size").alias(f"{side}_n"), F.col("parity").alias(f"{side}_p")), side)
-    pairs = pairs.select("src", "dst", "src_n", "dst_n", "src_p", "dst_p").mapInArrow(_screen, "src long, dst long")
+    pairs = pairs.select("src", "dst", "src_n", "dst_n", "src_p", "dst_p").mapInArrow(tidy(_screen), "src long, dst long")
     pairs = scratch.write(pairs)
     needed = scratch.write(pairs.select(F.explode(F.array("src", "dst")).alias("_row")).distinct())
     texts = scratch.write(rows.join(needed, "_row", "left_semi").select(F.col("_row").alias("node"), F.col(text_col).alias("text")))
     a, b = (texts.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("src", "a"), ("dst", "b")))
     pairs = pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")
-    return scratch.write(pairs.mapInArrow(_verify, "src long, dst long"))
+    return scratch.write(pairs.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +206,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(spark)
     scratch = Scratch(spark)
     held = spark.sparkContext.broadcast(common_shingles(docs, text_col, id_col))
-    rows = docs.mapInArrow(_sets(docs.columns.index(text_col), held), StructType([*docs.schema.fields, *ADDED]))
+    rows = docs.mapInArrow(tidy(_sets(docs.columns.index(text_col), held)), StructType([*docs.schema.fields, *ADDED]))
     rows = scratch.write(rows.withColumn("_row", F.monotonically_increasing_id()))
     # Equal sets are one node, which one row stands for.
     nodes = scratch.write(rows.groupBy("_sig").agg(F.min("_row").alias("node")))
@@ -233,7 +231,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = rest.withColumns({"least": F.min("component").over(by_token), "most": F.max("component").over(by_token)})
     rest = scratch.write(rest.where("least <> most").select("token", "node", "component"))
     dealt = sorted_runs(tiled(rest, "token", "node", TILE).join(sets.select("node", "size", "parity"), "node"), ["token", "tile"])
-    more = dealt.select("token", "tile", "node", "component", "size", "parity").mapInArrow(_candidates, "src long, dst long").distinct()
+    more = dealt.select("token", "tile", "node", "component", "size", "parity").mapInArrow(tidy(_candidates), "src long, dst long").distinct()
     found = scratch.write(connected_components(links.union(linked(more, sets, rows, text_col, scratch))))
     groups = nodes.join(found, "node", "left").select("_sig", F.coalesce("component", "node").alias("_component"))
     return rows.join(groups, "_sig").select(*docs.columns, "_row", "_component")

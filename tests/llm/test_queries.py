@@ -129,7 +129,7 @@ def test_pipeline_stages(spark, corpus):
     assert clean.columns == docs.columns
     got = {(r["doc_id"], r["text"], r["n_chars"]) for r in (x.asDict() for x in clean.collect())}
     want = {(r["doc_id"], t, r["n_chars"] if t == r["text"] else len(t)) for r in left for t in [redacted(r["text"])]}
-    assert not got ^ want
+    assert not [(x[0], x[2], x[1][:40], x[1][-60:]) for x in sorted(got ^ want, key=str)]
     assert any("[SECRET]" in (t or "") for _, t, _ in got)
 
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
