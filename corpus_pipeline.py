@@ -37,11 +37,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret and n_chars counted anew for the changed ones; a null text stays null."""
     found = secrets.scan_secrets(docs.select(F.struct(*docs.columns).alias("__row"), "text"))
-    text, changed = secrets.redact(F.col("text"), F.col("secrets")), F.size("secrets") > 0
+    # In a step of its own: beside a new column called text, lambdas would read that one.
+    found = found.withColumn("__text", secrets.redact(F.col("text"), F.col("secrets")))
     old = {c: F.col(f"__row.`{c}`") for c in docs.columns}
-    new = {"text": text}
+    new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(text)).otherwise(old["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size("secrets") > 0, F.length("__text")).otherwise(old["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return found.select(*((new.get(c, old[c])).alias(c) for c in docs.columns))
 
 
