@@ -6,8 +6,8 @@ Jaccard similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 of eac
 often met in a sample of documents come last in that order, which changes how many candidates there are but never
 which links are found. Every link, however proposed, is verified on the whole sets, and no pair of that similarity is missed.
 
-Candidates of a shingle are first compared with one pivot each, which joins large groups of near copies
-by few comparisons; only pairs still in different components are then compared among one another. Parity sketches
+Candidates of a shingle are first compared with one pivot each, then each with the one whose sketch is most like its own,
+which joins large groups of near copies by few comparisons; only pairs still in different components are then all compared. Parity sketches
 as wide as the sets are large tell nearly all unlike pairs apart without their texts.
 """
 
@@ -31,6 +31,8 @@ WORDS = 5
 SAMPLE, COMMON, MOST = 20_000, 4, 1 << 18
 #: Nodes of one shingle that are compared in one piece.
 TILE = 1024
+#: Rounds at most in which each node is compared with the one most like it, before all pairs that are left are compared.
+NEAREST = 3
 #: Pairs looked at together.
 PAIRS = 1 << 18
 #: Bytes of a set's parity sketch: a bit or more for each shingle, within these bounds.
@@ -170,27 +172,53 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, text_col: str, sc
     return scratch.write(pairs.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each shingle, the pairs of nodes of different components that may be alike."""
-    for table, starts in runs(batches, ["token", "tile"]):
-        end = np.repeat(starts[1:], np.diff(starts))
-        node, component, size = (table[c].to_numpy() for c in ("node", "component", "size"))
-        size, wide = size.astype(np.int64), table["parity"].to_pylist()
-        parity = fold(wide)
-        left, step = np.flatnonzero(np.arange(len(end)) + 1 < end), 1
-        while len(left):
-            for i in range(0, len(left), PAIRS):
-                x = left[i : i + PAIRS]
-                y = x + step
-                x, y = (z[component[x] != component[y]] for z in (x, y))
-                near = may_be_alike(size[x], size[y], np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64))
-                x, y = x[near], y[near]
-                near = may_be_alike(size[x], size[y], differing([wide[k] for k in x.tolist()], [wide[k] for k in y.tolist()]))
-                if near.any():
-                    x, y = node[x[near]], node[y[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
-            step += 1
-            left = left[left + step < end[left]]
+def _candidates(nearest: bool):
+    """Within each shingle, pairs of nodes of different components that may be alike: for each node that with the most alike sketch, or all."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Near copies meet in many shingles; a task tells each pair once, or once in so many.
+        found = np.zeros((2, 0), np.int64)
+        for table, starts in runs(batches, ["token", "tile"]):
+            end = np.repeat(starts[1:], np.diff(starts))
+            node, component, size = (table[c].to_numpy() for c in ("node", "component", "size"))
+            size, wide = size.astype(np.int64), table["parity"].to_pylist()
+            parity = fold(wide)
+            best, partner = np.full(len(end), np.inf), np.full(len(end), -1)
+            left, step = np.flatnonzero(np.arange(len(end)) + 1 < end), 1
+            while len(left):
+                for i in range(0, len(left), PAIRS):
+                    x = left[i : i + PAIRS]
+                    y = x + step
+                    x, y = (z[component[x] != component[y]] for z in (x, y))
+                    near = may_be_alike(size[x], size[y], np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64))
+                    x, y = x[near], y[near]
+                    differ = differing([wide[k] for k in x.tolist()], [wide[k] for k in y.tolist()])
+                    near = may_be_alike(size[x], size[y], differ)
+                    x, y, far = x[near], y[near], (differ / np.maximum(size[x] + size[y], 1))[near]
+                    if nearest:
+                        for a, b in ((x, y), (y, x)):
+                            less = far < best[a]
+                            best[a[less]], partner[a[less]] = far[less], b[less]
+                    elif len(x):
+                        found = _joined(found, node[x], node[y])
+                        if found.shape[1] > PAIRS:
+                            yield _pairs(found)
+                            found = found[:, :0]
+                step += 1
+                left = left[left + step < end[left]]
+            has = partner >= 0
+            found = _joined(found, node[has], node[partner[has]])
+        yield _pairs(found)
+
+    return each
+
+
+def _joined(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([found, np.stack([np.minimum(a, b), np.maximum(a, b)])], axis=1), axis=1)
+
+
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["src", "dst"])
 
 
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,13 +254,25 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pivots = tokens.where("node <> pivot.node").where(fits).select(F.col("node").alias("src"), F.col("pivot.node").alias("dst"))
     pairs = near.union(pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     links = linked(pairs, sets, rows, text_col, scratch)
+    # In shingles that nodes of several components share, each node against the one most like it, until that links nothing more.
+    rest, rounds = tokens.select("token", "node"), 0
+    while True:
+        found = scratch.write(connected_components(links))
+        rest = rest.select("token", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = rest.withColumns({"least": F.min("component").over(by_token), "most": F.max("component").over(by_token)})
+        rest = scratch.write(rest.where("least <> most").drop("least", "most"))
+        nearest = rounds < NEAREST
+        dealt = tiled(rest, "token", "node", TILE).join(sets.select("node", "size", "parity"), "node")
+        dealt = sorted_runs(dealt.select("token", "tile", "node", "component", "size", "parity"), ["token", "tile"])
+        pairs = dealt.mapInArrow(tidy(_candidates(nearest)), "src long, dst long").distinct()
+        new = linked(pairs, sets, rows, text_col, scratch)
+        if nearest:
+            # Once nothing more is found this way, all pairs that are left are compared.
+            rounds = NEAREST if new.isEmpty() else rounds + 1
+        links = links.union(new)
+        if not nearest:
+            break
     found = scratch.write(connected_components(links))
-    rest = tokens.select("token", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = rest.withColumns({"least": F.min("component").over(by_token), "most": F.max("component").over(by_token)})
-    rest = scratch.write(rest.where("least <> most").select("token", "node", "component"))
-    dealt = sorted_runs(tiled(rest, "token", "node", TILE).join(sets.select("node", "size", "parity"), "node"), ["token", "tile"])
-    more = dealt.select("token", "tile", "node", "component", "size", "parity").mapInArrow(tidy(_candidates), "src long, dst long").distinct()
-    found = scratch.write(connected_components(links.union(linked(more, sets, rows, text_col, scratch))))
     groups = nodes.join(found, "node", "left").select("_sig", F.coalesce("component", "node").alias("_component"))
     return rows.join(groups, "_sig").select(*docs.columns, "_row", "_component")
 
