@@ -6,7 +6,7 @@ Jaccard similarity 0.8 or more share one of the first n - ceil(0.8 n) + 1 of eac
 often met in a sample of documents come last in that order, which changes how many candidates there are but never
 which links are found. Every link, however proposed, is verified on the whole sets, and no pair of that similarity is missed.
 
-Candidates of a shingle are first compared with one pivot each, then each with the one whose sketch is most like its own,
+Candidates of a shingle are first compared with one pivot each, then each component by its pair with the sketches most alike,
 which joins large groups of near copies by few comparisons; only pairs still in different components are then all compared. Parity sketches
 as wide as the sets are large tell nearly all unlike pairs apart without their texts.
 """
@@ -31,12 +31,12 @@ WORDS = 5
 SAMPLE, COMMON, MOST = 20_000, 4, 1 << 18
 #: Nodes of one shingle that are compared in one piece.
 TILE = 1024
-#: Rounds at most in which each node is compared with the one most like it, before all pairs that are left are compared.
-NEAREST = 3
+#: Rounds at most in which components are joined by their pairs most alike, before all pairs that are left are compared.
+NEAREST = 1
 #: Pairs looked at together.
 PAIRS = 1 << 18
-#: Bytes of a set's parity sketch: a bit or more for each shingle, within these bounds.
-LEAST, WIDEST = 32, 512
+#: Bytes of a set's parity sketch: two bits or more for each shingle, within these bounds.
+LEAST, WIDEST = 32, 1024
 
 #: Columns that a row's set of shingles gets: its hash, size, fingerprint, prefix and sketch.
 ADDED = [
@@ -58,7 +58,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the numbers of shingles by the lowest bits of their hashes: two sketches differ in no more bits than the sets do in shingles."""
-    bits = 8 * min(max(LEAST, 1 << max(len(s) - 1, 0).bit_length() >> 3), WIDEST)
+    bits = 8 * min(max(LEAST, 1 << max(2 * len(s) - 1, 0).bit_length() >> 3), WIDEST)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -173,7 +173,7 @@ def linked(pairs: DataFrame, sets: DataFrame, rows: DataFrame, text_col: str, sc
 
 
 def _candidates(nearest: bool):
-    """Within each shingle, pairs of nodes of different components that may be alike: for each node that with the most alike sketch, or all."""
+    """Within each shingle, pairs of nodes of different components that may be alike: for each component that with the most alike sketches, or all."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Near copies meet in many shingles; a task tells each pair once, or once in so many.
@@ -206,7 +206,13 @@ def _candidates(nearest: bool):
                             found = found[:, :0]
                 step += 1
                 left = left[left + step < end[left]]
-            has = partner >= 0
+            # Of each component in each shingle only its best pair.
+            group = np.repeat(starts[:-1], np.diff(starts))
+            order = np.lexsort((best, component, group))
+            first = np.ones(len(order), bool)
+            first[1:] = (component[order][1:] != component[order][:-1]) | (group[order][1:] != group[order][:-1])
+            has = order[first]
+            has = has[partner[has] >= 0]
             found = _joined(found, node[has], node[partner[has]])
         yield _pairs(found)
 
@@ -254,7 +260,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pivots = tokens.where("node <> pivot.node").where(fits).select(F.col("node").alias("src"), F.col("pivot.node").alias("dst"))
     pairs = near.union(pivots).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     links = linked(pairs, sets, rows, text_col, scratch)
-    # In shingles that nodes of several components share, each node against the one most like it, until that links nothing more.
+    # In shingles that nodes of several components share, each component's pair with the sketches most alike, then all pairs left.
     rest, rounds = tokens.select("token", "node"), 0
     while True:
         found = scratch.write(connected_components(links))
