@@ -126,16 +126,17 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def tiled(rows: DataFrame, bucket: str, spread: str, size: int) -> DataFrame:
     """Split buckets of more than `size` rows into pairs of chunks, so no task needs a whole bucket.
 
-    Adds long column `tile`; rows of a (bucket, tile) group number at most about twice `size`, and any two
-    rows of a bucket share at least one tile. Rows of small buckets are not copied.
+    Adds long columns `chunk` and `tile`, the tile of chunks a <= b being a * 2^31 + b; rows of a (bucket, tile)
+    group number at most about twice `size`, and any two rows of a bucket share at least one tile. Rows of
+    small buckets are not copied.
     """
     hot = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
     hot = hot.select(bucket, F.ceil(F.col("_n") / size).cast("long").alias("_k"))
     dealt = rows.join(hot, bucket, "left").withColumn("_k", F.coalesce("_k", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("_c", F.pmod(F.xxhash64(F.lit("tile"), F.col(spread)), F.col("_k")))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit("tile"), F.col(spread)), F.col("_k")))
     dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    tile = F.least("_c", "_x") * F.col("_k") + F.greatest("_c", "_x")
-    return dealt.withColumn("tile", tile).drop("_k", "_c", "_x")
+    tile = F.least("chunk", "_x") * (1 << 31) + F.greatest("chunk", "_x")
+    return dealt.withColumn("tile", tile).drop("_k", "_x")
 
 
 def sorted_runs(df: DataFrame, keys: list[str]) -> DataFrame:
