@@ -3,9 +3,9 @@
 Each table projects unit vectors to some blocks of eight dimensions by a fixed random matrix, shifts and scales
 them, and decodes each block to the nearest point of the lattice E8; the points of all blocks name a cell. A
 vector is at home in its own cell and probes the nearest of those cells that differ by one of the 240 steps in
-one block; two vectors are compared when one's home is among the other's cells in some table. A link counts only
-in the first cell in which its ends meet, which both ends' cells tell, so no list of pairs is made or compared
-and components and counts come from the same links.
+one block; two vectors are compared when one's home is among the other's cells in some table. Links found this
+way decide the components; links are then counted within each component over all its members, in tiles, so that
+no list of pairs is made and a link counts once however many tables hold it.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ BLOCKS = 2
 #: Edge of a lattice cell in units of the projection of a unit vector.
 CELL = 1.7
 #: Vectors compared in one piece.
-TILE = 4096
-#: Vectors or links looked at together within a piece.
-PART = 1024
+TILE = 1024
+#: Vectors hashed, or compared with a piece, at a time.
+PART = 512
 SEED = 20
 
 
@@ -70,37 +70,21 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell: fl
     roots, out = _roots(), np.empty((len(unit), tables, 1 + probes), np.int64)
     half = (roots**2).sum(axis=1) / 2
     for t in range(tables):
-        # One product for each vector, so that its cells do not depend on which others are beside it.
-        x = (unit[:, None, :] @ rng.standard_normal((dim, 8 * blocks)))[:, 0] / cell + rng.random(8 * blocks)
+        x = unit @ rng.standard_normal((dim, 8 * blocks)) / cell + rng.random(8 * blocks)
         mix = rng.integers(1, 2**62, 8 * blocks) * 2 + 1
         home, gaps, steps = np.int64(0), [], []
         for at in (slice(8 * k, 8 * k + 8) for k in range(blocks)):
             point = decode_e8(x[:, at])
             home = home + (np.rint(2 * point).astype(np.int64) * mix[at]).sum(axis=1)
-            gaps.append(half - ((x[:, at] - point)[:, None, :] * roots).sum(axis=2))
+            gaps.append(half - (x[:, at] - point) @ roots.T)
             steps.append((np.rint(2 * roots).astype(np.int64) * mix[at]).sum(axis=1))
-        near = np.argpartition(np.concatenate(gaps, axis=1), probes - 1, axis=1)[:, :probes] if probes else np.empty((len(unit), 0), np.int64)
+        near = np.argpartition(np.concatenate(gaps, axis=1), probes - 1, axis=1)[:, :probes]
         key = np.concatenate([home[:, None], home[:, None] + np.concatenate(steps)[near]], axis=1)
         key ^= key >> 29
         out[:, t] = (key * mix[0] ^ key >> 32) * np.int64(2 * tables + 1) + np.int64(t * 1_000_003 + dim)
     return out
 
 
-def first_met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For cells of the two ends of links, the cell in which each link counts: the least they meet in, in the first table they meet in."""
-    none = np.iinfo(np.int64).max
-    out, left = np.full(len(a), none), np.arange(len(a))
-    for t in range(a.shape[1]):
-        x, y = a[left, t], b[left, t]
-        there = np.where((x[:, :1] == y).any(axis=1), x[:, 0], none)
-        back = np.where((y[:, :1] == x).any(axis=1), y[:, 0], none)
-        out[left] = np.minimum(there, back)
-        left = left[out[left] == none]
-        if not len(left):
-            break
-    return out
-
-
 def _units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, unit vectors) for each length of vector in an Arrow list column without nulls."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -127,59 +111,50 @@ def _hash(shape: tuple):
     return each
 
 
-def _links(x: np.ndarray, home: np.ndarray, chunk: np.ndarray | None, cell: int, least: float, shape: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that count in this cell, each once; chunk is given where ends in one chunk are another piece's business."""
-    at_home = np.flatnonzero(home)
-    keys, place = np.empty((0, shape[0], 1 + shape[1]), np.int64), np.full(len(x), -1)
-    for i in range(0, len(at_home), PART):
-        a, b = np.nonzero(x[at_home[i : i + PART]] @ x.T >= least)
-        a = at_home[i + a]
-        once = ~home[b] | (a < b)
-        if chunk is not None:
-            once &= chunk[a] != chunk[b]
-        a, b = a[once], b[once]
-        if not len(a):
-            continue
-        new = np.unique(np.concatenate([a, b]))
-        new = new[place[new] < 0]
-        place[new] = len(keys) + np.arange(len(new))
-        keys = np.concatenate([keys, *(cells(x[new[j : j + PART]], *shape) for j in range(0, len(new), PART))])
-        for j in range(0, len(a), 16 * PART):
-            p, q = a[j : j + 16 * PART], b[j : j + 16 * PART]
-            here = first_met(keys[place[p]], keys[place[q]]) == cell
-            if here.any():
-                yield p[here], q[here]
-
-
-def _near(least: float, shape: tuple):
-    """Within each cell, compare the vectors at home with all that probe it.
-
-    Emits spanning stars of the links that count there, and as loops how many each vector has, weighted by the copies of the other end.
-    """
+def _near(least: float):
+    """Within each cell, compare the vectors at home with all that probe it; emit spanning stars of the links."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["cell", "tile"]):
-            node, copies, home = table["node"].to_numpy(), table["copies"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
-            cell, tile, chunk = table["cell"].to_numpy(), table["tile"].to_numpy(), table["chunk"].to_numpy()
-            vectors, total, stars = table["embedding"].combine_chunks(), np.zeros(table.num_rows, np.int64), []
+            node, home = table["node"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
+            vectors = table["embedding"].combine_chunks()
+            found = []
             for i, j in zip(starts[:-1], starts[1:], strict=True):
                 if j - i < 2 or not home[i:j].any():
                     continue
-                first, second = divmod(int(tile[i]), 1 << 31)
                 for at, x in _units(vectors.slice(i, j - i)):
                     at = at + i
-                    for a, b in _links(x, home[at], None if first == second else chunk[at], cell[i], least, shape):
-                        a, b = at[a], at[b]
-                        np.add.at(total, a, copies[b])
-                        np.add.at(total, b, copies[a])
-                        stars.append(forest(node[a], node[b]))
-            if stars:
-                a, b = forest(*(np.concatenate(x) for x in zip(*stars, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], ["src", "dst", "found"])
-                loops, at = np.unique(node, return_inverse=True)
-                found = np.bincount(at, total, len(loops)).astype(np.int64)
-                loops, found = loops[found > 0], found[found > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(loops), pa.array(loops), pa.array(found)], ["src", "dst", "found"])
+                    h = np.flatnonzero(home[at])
+                    for k in range(0, len(h), PART):
+                        a, b = np.nonzero(x[h[k : k + PART]] @ x.T >= least)
+                        found.append(forest(node[at[h[k + a]]], node[at[b]]))
+            if found:
+                a, b = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    return each
+
+
+def _count(least: float):
+    """Within each tile of a component, count the links of its vectors, weighted by the copies of the other end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs(batches, ["component", "tile"]):
+            node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
+            turn, width = table["chunk"].to_numpy(), table["tile"].to_numpy()
+            vectors, total = table["embedding"].combine_chunks(), np.zeros(table.num_rows, np.int64)
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                first, second = divmod(int(width[i]), 1 << 31)
+                for at, x in _units(vectors.slice(i, j - i)):
+                    at = at + i
+                    p, q = np.flatnonzero(turn[at] == first), np.flatnonzero(turn[at] == second)
+                    for k in range(0, len(p), PART):
+                        part = p[k : k + PART]
+                        close = x[part] @ x[q].T >= least
+                        total[at[part]] += close @ copies[at[q]]
+                        if first != second:
+                            total[at[q]] += copies[at[part]] @ close
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], ["node", "found"])
 
     return each
 
@@ -215,14 +190,16 @@ def embedding_groups(
     sent = cut(nodes.select("node", "embedding").mapInArrow(tidy(_hash(shape)), "cell long, node long, home boolean"))
     shared = sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any")
     met = tiled(sent.join(shared.select("cell"), "cell", "left_semi"), "cell", "node", TILE)
-    met = sorted_runs(met.join(nodes.select("node", "embedding", "copies"), "node"), ["cell", "tile"])
-    links = cut(met.mapInArrow(tidy(_near(least, shape)), "src long, dst long, found long"))
-    counts = links.groupBy(F.col("src").alias("node")).agg(F.sum("found").alias("found"))
-    groups = cut(connected_components(links.select("src", "dst")).join(nodes.select("node", "least_id"), "node"))
+    met = sorted_runs(met.join(nodes.select("node", "embedding"), "node"), ["cell", "tile"])
+    links = met.select("cell", "tile", "node", "home", "embedding").mapInArrow(tidy(_near(least)), "src long, dst long")
+    groups = cut(connected_components(links).join(nodes.select("node", "least_id", "copies"), "node"))
     firsts = groups.groupBy("component").agg(F.min("least_id").alias("first"))
-    linked = groups.select("node", "component").join(firsts, "component").join(counts, "node").select("node", "first", "found")
+    members = tiled(groups.select("component", "node", "copies"), "component", "node", TILE).join(nodes.select("node", "embedding"), "node")
+    found = sorted_runs(members, ["component", "tile"]).mapInArrow(tidy(_count(least)), "node long, found long")
+    found = found.groupBy("node").agg(F.sum("found").alias("found"))
+    linked = groups.select("node", "component").join(firsts, "component").join(found, "node").select("node", "first", "found")
     per = nodes.select("node", *key, "least_id", "copies").join(linked, "node", "left")
-    per = per.select(*key, (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least_id").alias("component"))
+    per = per.select(*key, (F.coalesce("found", "copies") - 1).alias("n_links"), F.coalesce("first", "least_id").alias("component"))
     out = told.select("id", *key).join(per, key).select("id", "n_links", "component")
     out = out.union(rows.where("not fine").select("id", F.lit(0).cast("long"), "id"))
     return out.withColumn("kept", F.col("id") == F.col("component"))
