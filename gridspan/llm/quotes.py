@@ -84,7 +84,8 @@ def link_quotes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     reply_to is the turn of the message that the first linked passage quotes (by_quote true), else the turn
     before (false); null for a first turn. A null text is kept as null and quotes nothing. Messages without conversation or
     turn get null position and reply_to, and are quoted by none. Repeated rows are each returned. Passages that no
-    earlier message of the conversation says count in n_quotes only. An empty table gives no rows.
+    earlier message of the conversation says count in n_quotes only. Empty texts say and quote nothing, long ones are used whole, and
+    other columns are not looked at, whatever their names. An empty table gives no rows.
     """
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")

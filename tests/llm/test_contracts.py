@@ -643,8 +643,16 @@ def test_quotes(spark):
         (2, 5, "user", "> Fine.\nalone"),
         (None, 1, "user", "> Fine.\nx"),
         (2, None, "user", "y"),
+        (3, 0, "b", ""),  # a tie but for the role
+        (3, 0, "a", ""),
+        (3, 1, "a", "many words " * 50_000),
+        (3, 2, "b", "> " + "MANY  words " * 50_000 + "\n>\n>>"),
     ]
-    got = quotes.link_quotes(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    for name in ("mark", "block", "near", "place", "before", "hash", "position"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    got = quotes.link_quotes(rows).collect()
+    assert [r.role for r in sorted(got, key=lambda r: (r.conv_id or 0, r.position or 0)) if r.conv_id == 3] == ["a", "b", "a", "b"]
     want = [
         (1, 0, 0, "Hello there.\nHow are you?", None, False, 0, 0, 0),
         (1, 1, 1, "Fine.\n\nAnd you?", 0, True, 1, 1, 1),
@@ -656,6 +664,10 @@ def test_quotes(spark):
         (2, 0, 5, "alone", None, False, 1, 0, 1),
         (None, None, 1, "x", None, False, 0, 0, 0),
         (2, None, None, "y", None, False, 0, 0, 0),
+        (3, 0, 0, "", None, False, 0, 0, 0),
+        (3, 1, 0, "", None, False, 0, 0, 0),
+        (3, 2, 1, ("many words " * 50_000).strip(), 0, False, 0, 0, 0),
+        (3, 3, 2, "", 1, True, 1, 1, 1),
     ]
     assert Counter((r.conv_id, r.position, r.turn, r.text, r.reply_to, r.by_quote, r.n_quotes, r.n_linked, r.max_level) for r in got) == Counter(want)
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
