@@ -1,6 +1,7 @@
 """Tables laid out by coordinates, with merge-on-read updates and deletes.
 
-Rows lie in Parquet files under directories of their write's number and attempt, row chunk and dimension buckets.
+Rows lie in Parquet files under directories of their write's number and attempt and of their buckets: row chunk and
+dimensions. Where that made too many directories, some buckets are columns of the files, which are sorted by them.
 Updates and deletes are recorded as small JSON patches and folded into the plan of each read.
 
 A write exists once the description names its attempt; that one file is replaced in one step. What a crash or a
@@ -12,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -29,6 +31,8 @@ from gridspan.sources.files import Files, Lock
 META = "_meta/table.json"
 #: Partition column of a write's attempt.
 TRY = "__try"
+#: A write makes so many directories at most, or more if each then holds so many rows on average.
+DIRECTORIES, DIRECTORY_ROWS = 1000, 100_000
 
 
 class Table:
@@ -118,14 +122,33 @@ class Table:
         total = df.count()
         return df.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__first") + F.col("__place")).drop("__part", "__place", "__first"), first + total
 
+    def _layout(self, df: DataFrame) -> list[str]:
+        """Buckets of the rows that become directories: all, or those, in order, whose numbers multiply to few enough.
+
+        It reads the rows once more, only the columns that dimensions come from. Numbers are estimates, those of hash buckets
+        from a cheaper hash.
+        """
+        keys = [d.column for d in self.dims]
+        counted = [F.pmod(F.xxhash64(F.col(f"`{d.source}`").cast("string")), F.lit(d.size)) if d.kind == "hash" else F.col(d.column) for d in self.dims]
+        n, together, *each = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*counted)), *map(F.approx_count_distinct, counted)).first()
+        most = max(DIRECTORIES, n // DIRECTORY_ROWS)
+        if together <= most:
+            return keys
+        kept, made = [], 1
+        for key, found in zip(keys, each, strict=True):
+            if made * found <= most:
+                kept, made = [*kept, key], made * found
+        return kept
+
     def _put(self, df: DataFrame, tid: int) -> dict:
         """Write rows as a new attempt, which nothing reads until the description names it; a hot bucket is split over tasks."""
         kinds = {f.name: f.dataType for f in df.schema}
         df = df.withColumns({d.column: d.bucket(F.col(f"`{d.source}`"), kinds[d.source]) for d in self.dims})
-        keys, attempt = [d.column for d in self.dims], str(uuid.uuid4())
-        dealt = df.hint("rebalance", *map(F.col, keys)).sortWithinPartitions(*keys, self.meta["global_id"])
+        keys, attempt = self._layout(df), str(uuid.uuid4())
+        inside = [d.column for d in self.dims if d.column not in keys]
+        dealt = df.hint("rebalance", *map(F.col, keys)).sortWithinPartitions(*keys, *inside, self.meta["global_id"])
         dealt.write.partitionBy(*keys).parquet(f"{self.path}/{_folder(tid, attempt)}", compression="zstd")
-        return {"tid": tid, "try": attempt}
+        return {"tid": tid, "try": attempt, "keys": keys}
 
     def _commit(self, lock: Lock, before: dict, change: dict) -> None:
         lock.check()
@@ -176,8 +199,12 @@ class Table:
             return self.spark.createDataFrame([], full)
         if self._listed is not None and self._listed[0] == (writes, full):
             return self._listed[1]
-        # Committed attempts never change, so their files are listed once.
-        df = self.spark.read.schema(full).option("basePath", f"{self.path}/data").parquet(*(f"{self.path}/{_folder(w['tid'], w['try'])}" for w in writes))
+        # Committed attempts never change, so their files are listed once. Spark reads writes together whose directories name the same buckets.
+        every, alike = [d.column for d in self.dims], {}
+        for w in writes:
+            alike.setdefault(tuple(w.get("keys", every)), []).append(f"{self.path}/{_folder(w['tid'], w['try'])}")
+        read = self.spark.read.schema(full).option("basePath", f"{self.path}/data")
+        df = reduce(DataFrame.unionByName, [read.parquet(*paths) for paths in alike.values()])
         self._listed = ((writes, full), df)
         return df
 
@@ -210,7 +237,7 @@ class Table:
         return df if columns is None else df.select(*columns)
 
     def candidates(self, filters: Any = None) -> list[str]:
-        """Files that a filtered read has to open: one name each reaches the driver. Of the files only the footers are read."""
+        """Files with rows in the buckets that a filter implies: one name each reaches the driver. Of the files only footers and buckets are read."""
         df, predicate = self._stored(), parse(filters)
         dims = [d for d in self.dims if d.source not in patched_columns(self.patches())]
         found = implied(predicate, dims, {f.name: f.dataType for f in df.schema})

@@ -19,6 +19,10 @@ def append_stream(stream: DataFrame, table: Table, checkpoint: str, **trigger: o
     progress = Files(stream.sparkSession, checkpoint)
 
     def put(batch: DataFrame, number: int) -> None:
-        table.write(batch, (progress.read("metadata")["id"], number))
+        batch.persist()  # a write reads its rows twice
+        try:
+            table.write(batch, (progress.read("metadata")["id"], number))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -285,3 +285,43 @@ def test_stream_is_appended_once(spark, session, tmp_path):
     for _ in range(2):
         append_stream(spark.readStream.schema("i long").parquet(str(tmp_path / "in")), f.table, str(tmp_path / "progress")).awaitTermination()
     assert Table(spark, f.table.path).scan().count() == 50
+
+
+def test_fine_dimensions_make_few_directories(spark, session):
+    """Buckets of which nearly every row has its own: a write keeps some as columns, and reads and prunes as before."""
+    f = session.create_dataset("t", chunk_rows=1, hash_dims={"k": 3, "s": 2}, range_dims={"x": 1}, global_id="i")
+    rows = spark.range(3000).select(F.col("id").alias("i"), (F.col("id") * 7 % 50).alias("k"), F.when(F.col("id") % 9 > 0, (F.col("id") % 11).cast("string")).alias("s"), (F.col("id") % 1700).cast("double").alias("x"))
+    f.write(rows)
+    assert len(f.table.candidates()) < 200
+    f.write(rows.limit(40).withColumns({"i": F.col("i") + 3000, "more": F.lit(1)}))  # few rows: all buckets are directories
+    again = session.read("t")
+    assert [sorted(w["keys"]) for w in again.table.meta["writes"]] == [["__hash_k", "__hash_s"], ["__hash_k", "__hash_s", "__range_i", "__range_x"]]
+    assert again.count() == 3040 and again.df().columns == ["i", "k", "s", "x", "more"] and session.read("t", as_of=1).count() == 3000
+    for p in [("i", "=", 3003), ("i", "BETWEEN", [2990, 3010]), ("x", "<", 1.2), ("x", "=", 3.0), ("k", "=", 14), ("s", "=", "5"), [("x", ">", 1690), "OR", ("s", "IN", ["1", "2"])], [("k", "=", 7), ("i", ">=", 2000)]]:
+        kept = values(again.table.dataframe(parse(p)), "i", "x", "more")
+        assert kept and kept == values(again.table.dataframe(parse(p), prune=False), "i", "x", "more"), p
+    kinds = {d.column: d.bucket(F.col(d.source), again.table.schema[d.source].dataType) for d in again.table.dims}
+    assert again.table.dataframe().filter(" or ".join(f"{c} is null" for c in kinds)).count() == 0
+    assert all(again.table.dataframe().filter(F.col(c) != b).count() == 0 for c, b in kinds.items())
+    plan = again.filter(("x", "=", 3.0)).df()._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(__range_x,3)" in plan  # skips row groups and pages where it is a column
+    assert 0 < len(again.table.candidates(("k", "=", 7))) < len(again.table.candidates())
+    again.filter(col("i") < 2000).delete()
+    again.filter(col("i") == 3003).update({"x": -1.0})
+    again.table.compact()
+    again.table.vacuum()
+    assert session.read("t").count() == 1040 and values(session.read("t").filter(("x", "<", 0)).df(), "i") == [(3003,)]
+    g = session.create_dataset("u", chunk_rows=1, global_id="i")
+    g.write(rows)  # no bucket of which there are few
+    assert g.table.meta["writes"][0]["keys"] == [] and g.count() == 3000 and g.filter(("i", "=", 7)).count() == 1
+
+
+def test_writes_that_name_no_directories(spark, session):
+    """A description from before writes named the buckets that are directories: all of them were."""
+    f = session.create_dataset("t", hash_dims={"k": 2}, global_id="i")
+    f.write({"i": [1, 2, 3], "k": ["a", "b", "c"]})
+    meta = f.table.files.read("_meta/table.json")
+    f.table.files.write("_meta/table.json", meta | {"writes": [{n: w[n] for n in ("tid", "try")} for w in meta["writes"]]})
+    again = session.read("t")
+    again.write({"i": [4], "k": ["a"]})
+    assert values(again.df(), "i", "k") == [(1, "a"), (2, "b"), (3, "c"), (4, "a")] and again.filter(("k", "=", "a")).count() == 2
